@@ -23,10 +23,9 @@ def quantize_length(dl: Column) -> Column:
     Exact below 40; from there 4 significant bits of ``dl - 24``, floored.
     """
     over = dl - 24
-    out = F.when(dl < 40, dl)
-    for lost_bits in range(1, 27):
-        out = out.when(over < (1 << (lost_bits + 4)), over.bitwiseAND(F.lit(-(1 << lost_bits))) + 24)
-    return out.otherwise(over.bitwiseAND(F.lit(-(1 << 27))) + 24)
+    lost_bits = F.length(F.bin(over)) - 4
+    kept = F.call_function("shiftleft", F.call_function("shiftright", over, lost_bits), lost_bits)
+    return F.when(dl < 40, dl).otherwise(kept + 24)
 
 
 def length_norm(length: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:

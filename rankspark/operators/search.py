@@ -17,7 +17,16 @@ from pyspark.sql.window import Window
 
 from ..functions import bm25
 from . import postings as P
-from .scale import WINDOW_K, broadcast_if_small, join_term_stats, measured_small, with_positions
+from .scale import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    WINDOW_K,
+    broadcast_if_small,
+    cut_lineage,
+    join_term_stats,
+    measured_small,
+    with_positions,
+)
 
 # Parquet checks an IN list value by value against row-group statistics only up
 # to this length, so longer literal lists are passed as several short ones.
@@ -35,13 +44,14 @@ SALTS = 64
 class Queries:
     """``frame(query_id, term, boost)``, one row per occurrence of a term.
 
-    ``literal`` holds the distinct terms when they are known on the driver.
-    A null term stands for a query without terms.
+    ``literal`` holds the distinct terms and ``packed`` the weights when they
+    are known on the driver. A null term stands for a query without terms.
     """
 
     frame: DataFrame
     literal: tuple[str, ...] | None = None
     small: bool = False
+    packed: DataFrame | None = None
 
     @property
     def ids(self) -> DataFrame:
@@ -53,6 +63,8 @@ class Queries:
 
     def weights(self) -> DataFrame:
         """``(query_id, term, boost)``: a repeated term counts once per occurrence."""
+        if self.packed is not None:
+            return self.packed
         return self.occurrences.groupBy("query_id", "term").agg(F.sum("boost").alias("boost"))
 
     def terms(self) -> DataFrame:
@@ -60,10 +72,11 @@ class Queries:
 
     def distinct_terms(self) -> Queries:
         """The same queries with every term counted once."""
-        return replace(self, frame=self.frame.dropDuplicates(["query_id", "term"]))
+        return replace(self, frame=self.frame.dropDuplicates(["query_id", "term"]), packed=None)
 
     def boosted(self, factor: float) -> Queries:
-        return replace(self, frame=self.frame.withColumn("boost", F.col("boost") * F.lit(float(factor))))
+        frame = self.frame.withColumn("boost", F.col("boost") * F.lit(float(factor)))
+        return replace(self, frame=frame, packed=None)
 
     def small_side(self, df: DataFrame) -> DataFrame:
         """Mark a per-query-term side for broadcast when the queries were measured small."""
@@ -74,6 +87,12 @@ QUERY_COLUMNS = ["query_id", "term", "boost"]
 QUERY_TYPES = [pa.int64(), pa.string(), pa.float64()]
 
 
+def _local_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    columns = zip(*rows) if rows else ([], [], [])
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, QUERY_TYPES)]
+    return spark.createDataFrame(pa.table(arrays, names=QUERY_COLUMNS))
+
+
 def _check_terms(terms: object) -> list[str]:
     if isinstance(terms, (str, bytes, Mapping)) or not isinstance(terms, Iterable):
         raise ValueError(f"a query is a list of terms, any of which may match; got {type(terms).__name__}")
@@ -108,9 +127,17 @@ def any_of(spark: SparkSession, queries: object, boost: float = 1.0) -> Queries:
         terms = _check_terms(terms)
         literal.update(terms)
         rows.extend((query_id, term, float(boost)) for term in terms or [None])
-    columns = zip(*rows) if rows else ([], [], [])
-    frame = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, QUERY_TYPES)], names=QUERY_COLUMNS))
-    return Queries(frame, tuple(sorted(literal)), measured_small(frame))
+    packed = {}
+    for query_id, term, weight in rows:
+        if term is not None:
+            packed[query_id, term] = packed.get((query_id, term), 0.0) + weight
+    size = sum(len(term or "") * 4 + 16 for _, term, _ in rows)
+    return Queries(
+        _local_frame(spark, rows),
+        tuple(sorted(literal)),
+        len(rows) <= BROADCAST_ROWS and size <= BROADCAST_BYTES,
+        _local_frame(spark, [(*key, weight) for key, weight in packed.items()]),
+    )
 
 
 def queries_from_text(df: DataFrame, query_id: str, tokens: Column) -> DataFrame:
@@ -217,12 +244,14 @@ def resolve_terms(collection: Collection, queries: Queries) -> DataFrame:
 
 def gather(collection: Collection, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
     """Every (query, posting) pair with all parts of its score."""
-    norm = F.col("norm")
-    rows = _with_query(collection.restricted(queries, accept), resolve_terms(collection, queries), queries)
-    return rows.withColumn("norm", collection.norm()).withColumn(
-        "partial",
-        F.col("boost") * bm25.partial_score(F.col("tf"), norm, F.col("idf"), collection.k1),
+    norm = collection.norm()
+    # Per posting, so computed before postings are handed out to queries.
+    weight = bm25.saturation(F.col("tf"), norm, collection.k1)
+    rows = collection.restricted(queries, accept).select(
+        "doc_id", "term", "tf", "dl", norm.alias("norm"), weight.alias("weight")
     )
+    paired = _with_query(rows, resolve_terms(collection, queries), queries)
+    return paired.withColumn("partial", F.col("boost") * F.col("idf") * F.col("weight"))
 
 
 def scores(collection: Collection, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
@@ -287,7 +316,8 @@ def match_only(collection: Collection, queries: Queries, accept: DataFrame | Non
 
 def explain(collection: Collection, queries: Queries, hits: DataFrame) -> DataFrame:
     """One row per hit and matching term with every factor of the partial score."""
-    wanted = broadcast_if_small(hits.select("query_id", "doc_id"))
+    # Stored first, so that the ranking does not run again to be measured and joined.
+    wanted = broadcast_if_small(cut_lineage(hits.select("query_id", "doc_id")))
     return gather(collection, queries).join(wanted, ["query_id", "doc_id"], "left_semi").select(
         "query_id", "doc_id", "term", "tf", "df", "idf", "dl", "norm", "boost", "partial"
     )

@@ -71,6 +71,8 @@ class Index:
         self.spark = spark
         self.path = path.rstrip("/")
         self.manifest = dict(manifest)
+        self._stats: list | None = None
+        self._collections: dict[str, S.Collection] = {}
         self._postings = self._table("postings", "doc_id BIGINT, term STRING, tf INT, dl INT", "segment BIGINT, field STRING")
 
     # ---- open and create ------------------------------------------------
@@ -143,11 +145,20 @@ class Index:
 
     def _stats_rows(self) -> list:
         """Counts of all committed segments: one row per segment and field."""
-        if not _exists(self.spark, f"{self.path}/stats"):
-            return []
-        rows = self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.path}/stats").collect()
-        replaced = {old for row in rows for old in row["replaces"]}
-        return [row for row in rows if row["segment"] not in replaced]
+        if self._stats is None:
+            rows = []
+            if _exists(self.spark, f"{self.path}/stats"):
+                rows = self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.path}/stats").collect()
+            replaced = {old for row in rows for old in row["replaces"]}
+            self._stats = [row for row in rows if row["segment"] not in replaced]
+        return self._stats
+
+    def refresh(self) -> None:
+        """See segments other writers have committed since this index was opened."""
+        self._forget()
+        if _exists(self.spark, f"{self.path}/postings"):
+            self.spark.catalog.recoverPartitions(self._postings)
+            self.spark.catalog.refreshTable(self._postings)
 
     def segments(self) -> list[int]:
         return sorted({row["segment"] for row in self._stats_rows()})
@@ -210,15 +221,21 @@ class Index:
         # Written last: from here on readers see the segment.
         log = counts.withColumn("replaces", F.lit(replaces).cast("array<long>"))
         log.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment={segment}")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._stats = None
+        self._collections.clear()
 
     def _insert(self, table: str, rows: DataFrame, partition: str, overwrite: bool) -> None:
+        session = rows.sparkSession  # a streaming batch has its own, and views belong to a session
         view = f"rankspark_{uuid.uuid4().hex}"
         rows.createOrReplaceTempView(view)
         try:
             verb = "OVERWRITE" if overwrite else "INTO"
-            self.spark.sql(f"INSERT {verb} TABLE {table} PARTITION ({partition}) SELECT * FROM {view}")
+            session.sql(f"INSERT {verb} TABLE {table} PARTITION ({partition}) SELECT * FROM {view}")
         finally:
-            self.spark.catalog.dropTempView(view)
+            session.catalog.dropTempView(view)
 
     # ---- reading --------------------------------------------------------
 
@@ -237,9 +254,11 @@ class Index:
 
     def collection(self, field: str = DEFAULT_FIELD) -> S.Collection:
         """The field with statistics as constants and the stored dictionary."""
+        if field in self._collections:
+            return self._collections[field]
         stats = self.stats(field)
         rows = self._rows(field, stats["segments"])
-        return S.Collection(
+        self._collections[field] = S.Collection(
             postings=rows.filter(F.col("term").isNotNull()).select("doc_id", "term", "tf", "dl"),
             lengths=rows.groupBy("doc_id").agg(F.max("dl").alias("dl")),
             n_docs=F.lit(stats["n_docs"]),
@@ -249,6 +268,7 @@ class Index:
             b=self.manifest["b"],
             quantize=self.manifest["quantize"],
         )
+        return self._collections[field]
 
     def search(
         self,
