@@ -1,0 +1,57 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankspark.operators import scale
+from rankspark.operators import search as S
+
+
+def test_positions_match_a_global_sort(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 1, 1, 2, 5]), rng.randrange(9)) for i in range(500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, g int, v long").repartition(7)
+    got = scale.with_positions(df, [F.asc("g"), F.desc("id")], "pos", {"v": "before"}).collect()
+    expected = sorted(rows, key=lambda r: (r[1], -r[0]))
+    running = 0
+    by_pos = {r["pos"]: r for r in got}
+    assert len(got) == len(by_pos) == 500
+    for pos, (i, _, v) in enumerate(expected):
+        assert by_pos[pos]["id"] == i and by_pos[pos]["before"] == running
+        running += v
+
+
+@pytest.mark.parametrize("n", [0, 3, 1500, 5000])
+def test_take_first(spark, n):
+    df = spark.range(2000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(100)))
+    order = [F.col("x"), F.col("id")]
+    got = {r["id"] for r in scale.take_first(df, order, n).collect()}
+    expected = sorted(df.collect(), key=lambda r: (r["x"], r["id"]))[:n]
+    assert got == {r["id"] for r in expected}
+
+
+def test_measured_small(spark):
+    df = spark.createDataFrame([("x" * 100,)] * 10, "s string")
+    assert scale.measured_small(df)
+    assert not scale.measured_small(df, max_rows=9)
+    assert not scale.measured_small(df, max_bytes=500)
+
+
+def test_large_dictionary_join_gives_the_same_rows(spark, corpus, monkeypatch):
+    collection = S.Collection.from_documents(corpus, "simple")
+    small = {(r["term"], r["doc_id"]): r["partial"] for r in S.impacts(collection).collect()}
+    monkeypatch.setattr(scale, "measured_small", lambda df, *a, **k: False)
+    monkeypatch.setattr(scale, "HEAVY_SLOTS", 10)
+    joined = S.impacts(collection, buckets=3)
+    assert "left_anti" in joined._jdf.queryExecution().toString().lower().replace("leftanti", "left_anti")
+    large = {(r["term"], r["doc_id"]): r["partial"] for r in joined.collect()}
+    assert joined.count() == len(large) == len(small)
+    assert large.keys() == small.keys()
+    assert all(abs(large[k] - small[k]) < 1e-12 for k in small)
+
+
+def test_scratch_follows_the_session(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert scale.scratch_dir(spark).startswith(base)
+    assert scale.scratch_dir(spark) != scale.scratch_dir(spark)
