@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scale import with_positions
 
@@ -27,10 +26,6 @@ def assign_ids(df: DataFrame, order: list[Column], name: str = "ordinal") -> Dat
 
 
 def segment_offsets(df: DataFrame, segment: str) -> DataFrame:
-    """``(segment, n_docs, base)``: the first global id of every segment.
-
-    The running total goes over one row per segment, never over documents.
-    """
+    """``(segment, n_docs, base)``: the first global id of every segment."""
     sizes = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n_docs"))
-    before = Window.orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("base", F.coalesce(F.sum("n_docs").over(before), F.lit(0)))
+    return with_positions(sizes, [F.col(segment)], "_no", {"n_docs": "base"}).drop("_no")

@@ -209,7 +209,7 @@ class Collection:
         if queries.literal is not None:
             out = out.filter(term_filter(queries.literal))
         if accept is not None:
-            out = out.join(accept.select("doc_id").distinct(), "doc_id", "left_semi")
+            out = out.join(accept.select("doc_id"), "doc_id", "left_semi")
         return out
 
     def resolve(self, queries: Queries) -> DataFrame:
@@ -242,7 +242,9 @@ def resolve_terms(collection: Collection, queries: Queries) -> DataFrame:
     return queries.weights().join(queries.small_side(collection.resolve(queries)), "term")
 
 
-def gather(collection: Collection, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
+def gather(
+    collection: Collection, queries: Queries, accept: DataFrame | None = None, resolved: DataFrame | None = None
+) -> DataFrame:
     """Every (query, posting) pair with all parts of its score."""
     norm = collection.norm()
     # Per posting, so computed before postings are handed out to queries.
@@ -250,17 +252,21 @@ def gather(collection: Collection, queries: Queries, accept: DataFrame | None =
     rows = collection.restricted(queries, accept).select(
         "doc_id", "term", "tf", "dl", norm.alias("norm"), weight.alias("weight")
     )
-    paired = _with_query(rows, resolve_terms(collection, queries), queries)
+    if resolved is None:
+        resolved = resolve_terms(collection, queries)
+    paired = _with_query(rows, resolved, queries)
     return paired.withColumn("partial", F.col("boost") * F.col("idf") * F.col("weight"))
 
 
-def scores(collection: Collection, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
+def scores(
+    collection: Collection, queries: Queries, accept: DataFrame | None = None, resolved: DataFrame | None = None
+) -> DataFrame:
     """``(query_id, doc_id, score)`` of all matching documents.
 
     On a stored index every document lives in one bucket, so this sum needs no
     shuffle.
     """
-    return sum_partials(gather(collection, queries, accept))
+    return sum_partials(gather(collection, queries, accept, resolved))
 
 
 def sum_partials(gathered: DataFrame) -> DataFrame:
@@ -284,9 +290,15 @@ def rank(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def search(collection: Collection, queries: Queries, k: int, accept: DataFrame | None = None) -> DataFrame:
+def search(
+    collection: Collection,
+    queries: Queries,
+    k: int,
+    accept: DataFrame | None = None,
+    resolved: DataFrame | None = None,
+) -> DataFrame:
     """``(query_id, rank, doc_id, score)``."""
-    return rank(scores(collection, queries, accept), k)
+    return rank(scores(collection, queries, accept, resolved), k)
 
 
 def totals(scored: DataFrame, queries: Queries) -> DataFrame:
@@ -341,11 +353,13 @@ def impacts(
 
     Collection statistics, df and lengths come from the whole corpus either way.
     """
-    rows = P.keep_terms(collection.postings, vocabulary)
-    if collection.dictionary is None:
-        dictionary = P.doc_freq(rows)
-    else:
-        dictionary = P.keep_terms(collection.dictionary, vocabulary)
+    rows = collection.postings
+    if not isinstance(vocabulary, DataFrame):
+        rows = P.keep_terms(rows, vocabulary)
+    # A whitelist table restricts the dictionary, where every term is one row;
+    # postings of other terms then find no partner.
+    dictionary = collection.dictionary if collection.dictionary is not None else P.doc_freq(rows)
+    dictionary = P.keep_terms(dictionary, vocabulary)
     dictionary = dictionary.select("term", "df", bm25.idf(F.col("df"), collection.n_docs).alias("idf"))
     joined = join_term_stats(rows, dictionary, ["term"], n_postings, buckets)
     partial = bm25.partial_score(F.col("tf"), collection.norm(), F.col("idf"), collection.k1)
@@ -362,6 +376,6 @@ def search_impacts(
 def impact_scores(stored: DataFrame, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
     out = stored.filter(term_filter(queries.literal)) if queries.literal is not None else stored
     if accept is not None:
-        out = out.join(accept.select("doc_id").distinct(), "doc_id", "left_semi")
+        out = out.join(accept.select("doc_id"), "doc_id", "left_semi")
     gathered = _with_query(out, queries.weights(), queries)
     return sum_partials(gathered.withColumn("partial", F.col("boost") * F.col("partial")))

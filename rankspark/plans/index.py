@@ -31,6 +31,7 @@ from ..functions.text import ANALYZERS
 from ..operators import dictionary as D
 from ..operators import postings as P
 from ..operators import search as S
+from ..operators.batch import search_batch
 
 DEFAULT_FIELD = "body"
 FORMAT = 1
@@ -289,7 +290,10 @@ class Index:
             if options:
                 raise ValueError("a snapshot has its parameters built in")
             return S.search_impacts(self.impacts(field, snapshot), queries, k, accept)
-        return S.search(self.collection(field).with_options(**options), queries, k, accept)
+        collection = self.collection(field).with_options(**options)
+        if queries.literal is None:
+            return search_batch(collection, queries, k, accept)
+        return S.search(collection, queries, k, accept)
 
     # ---- snapshots ------------------------------------------------------
 
