@@ -34,13 +34,18 @@ def doc_lengths(tokenized: DataFrame) -> DataFrame:
     return tokenized.select(*_keys(tokenized), F.size("tokens").alias("dl"))
 
 
-def build_postings(tokenized: DataFrame, keep_empty: bool = False) -> DataFrame:
+def build_postings(
+    tokenized: DataFrame, keep_empty: bool = False, only: Iterable[str] | None = None
+) -> DataFrame:
     """``(doc_id, term, tf, dl)``, one row per document and distinct term; no shuffle.
 
-    With ``keep_empty`` a document without tokens keeps one row whose term is null.
+    With ``keep_empty`` a document without tokens keeps one row whose term is
+    null. ``only`` drops other terms before counting; lengths stay whole.
     """
     keys = _keys(tokenized)
-    counted = tokenized.select(*keys, F.size("tokens").alias("dl"), text.term_counts("tokens").alias("counts"))
+    words = F.col("tokens") if only is None else F.filter("tokens", lambda t: t.isin(list(only)))
+    rows = tokenized.select(*keys, F.size("tokens").alias("dl"), words.alias("words"))
+    counted = rows.select(*keys, "dl", text.term_counts("words").alias("counts"))
     # The outer form in both cases: for the inner one the optimizer pushes a
     # "not empty" check below the projection, which would tokenize a second time.
     rows = counted.select(*keys, "dl", F.explode_outer("counts").alias("p")).select(

@@ -44,6 +44,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by ``key`` when the input has fewer splits than there are cores.
+
+    A no-op for a large corpus; for a few unsplittable files it keeps the
+    analysis from running in as few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is proven to fit a broadcast, reading at most ``max_rows + 1`` rows."""
     width = F.lit(8 * len(df.columns))

@@ -163,7 +163,8 @@ class Collection:
     ``postings(doc_id, term, tf, dl)``, ``lengths(doc_id, dl)`` for all
     documents, ``dictionary(term, df)`` or ``None`` to count df from the
     postings of the query terms. ``n_docs`` and ``avgdl`` are columns: literals
-    of a stored index, scalar subqueries of a lazy one.
+    of a stored index, scalar subqueries of a lazy one. A lazy one keeps
+    ``tokenized`` to count the terms of literal queries only.
     """
 
     postings: DataFrame
@@ -171,6 +172,7 @@ class Collection:
     n_docs: Column
     avgdl: Column
     dictionary: DataFrame | None = None
+    tokenized: DataFrame | None = None
     k1: float = bm25.K1
     b: float = bm25.B
     quantize: bool = True
@@ -192,6 +194,7 @@ class Collection:
             lengths=lengths,
             n_docs=stats.select("n_docs").scalar(),
             avgdl=stats.select("avgdl").scalar(),
+            tokenized=tokenized,
             **options,
         )
 
@@ -205,21 +208,27 @@ class Collection:
 
     def restricted(self, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
         """Postings that can matter to the queries, filtered at the scan where terms are literal."""
-        out = self.postings
-        if queries.literal is not None:
-            out = out.filter(term_filter(queries.literal))
+        out = self._literal_postings(queries)
         if accept is not None:
             out = out.join(accept.select("doc_id"), "doc_id", "left_semi")
         return out
 
+    def _literal_postings(self, queries: Queries) -> DataFrame:
+        if queries.literal is None:
+            return self.postings
+        if self.tokenized is not None:
+            return P.build_postings(self.tokenized, only=queries.literal)
+        return self.postings.filter(term_filter(queries.literal))
+
     def resolve(self, queries: Queries) -> DataFrame:
         """``(term, df, idf)`` of the query terms that exist."""
-        source = self.dictionary if self.dictionary is not None else self.postings
-        if queries.literal is not None:
-            found = source.filter(term_filter(queries.literal))
-        else:
+        stored = self.dictionary is not None
+        if queries.literal is None:
+            source = self.dictionary if stored else self.postings
             found = source.join(queries.small_side(queries.terms()), "term", "left_semi")
-        if self.dictionary is None:
+        else:
+            found = self.dictionary.filter(term_filter(queries.literal)) if stored else self._literal_postings(queries)
+        if not stored:
             found = P.doc_freq(found)
         return found.select("term", "df", bm25.idf(F.col("df"), self.n_docs).alias("idf"))
 

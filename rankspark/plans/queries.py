@@ -19,7 +19,7 @@ from ..operators import dictionary as D
 from ..operators import documents as docs_ops
 from ..operators import postings as P
 from ..operators import search as S
-from ..operators.scale import scratch_dir, take_first, with_positions
+from ..operators.scale import scratch_dir, spread, take_first, with_positions
 from ..sources.delimited import read_csv_corpus
 from ..sources.points import points_from_vectors
 from ..sources.tagged import page_fields, read_abstracts
@@ -65,7 +65,7 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> S.Queries:
 
 
 def _tokens(spark: SparkSession, sf_dir: str, stop_words=()) -> DataFrame:
-    return P.tokenize(documents(spark, sf_dir), SIMPLE, stop_words)
+    return P.tokenize(spread(documents(spark, sf_dir), "doc_id"), SIMPLE, stop_words)
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
@@ -149,7 +149,7 @@ def tokenize_stopwords(spark, sf_dir):
 
 
 def tokenize_standard(spark, sf_dir):
-    return _joined(P.tokenize(documents(spark, sf_dir), "standard", X.ENGLISH_STOP_WORDS))
+    return _joined(P.tokenize(spread(documents(spark, sf_dir), "doc_id"), "standard", X.ENGLISH_STOP_WORDS))
 
 
 def term_freq(spark, sf_dir):
@@ -293,7 +293,7 @@ def bm25_topk(spark, sf_dir):
 
 def bm25_topk_scan(spark, sf_dir):
     """The same straight from the documents, without an index."""
-    collection = S.Collection.from_documents(documents(spark, sf_dir), SIMPLE)
+    collection = S.Collection.from_tokens(_tokens(spark, sf_dir))
     return _six(S.search(collection, S.any_of(spark, TERMS), K), "score")
 
 
