@@ -46,6 +46,10 @@ def _queries(by_id: dict[int, list[str]]) -> str:
 BATCH = f"""q AS (SELECT DISTINCT query_id, term FROM (
     SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark))"""
 
+TURNS = f"""q AS (SELECT DISTINCT query_id, term FROM (
+    SELECT concat_ws('-', conv_id, turn) AS query_id,
+           unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM conversations))"""
+
 SCORES = """scores AS (SELECT query_id, doc_id, sum(partial) AS score
                        FROM q JOIN parts USING (term) GROUP BY query_id, doc_id)"""
 RANKED = """ranked AS (SELECT query_id, CAST(row_number() OVER (
@@ -153,6 +157,7 @@ ORACLE: dict[str, str] = {
     "bm25_topk": _retrieval(SINGLE, TOP),
     "bm25_topk_scan": _retrieval(SINGLE, TOP),
     "bm25_topk_batch": _retrieval(BATCH, TOP),
+    "bm25_topk_blocks": _retrieval(TURNS, TOP),
     "bm25_all": _retrieval(
         SINGLE, "SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM ranked"
     ),

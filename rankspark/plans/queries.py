@@ -19,6 +19,7 @@ from ..operators import dictionary as D
 from ..operators import documents as docs_ops
 from ..operators import postings as P
 from ..operators import search as S
+from ..operators.batch import search_batch
 from ..operators.scale import scratch_dir, spread, take_first, with_positions
 from ..sources.delimited import read_csv_corpus
 from ..sources.points import points_from_vectors
@@ -301,6 +302,14 @@ def bm25_topk_batch(spark, sf_dir):
     return _search(spark, sf_dir, batch_queries(spark, sf_dir))
 
 
+def bm25_topk_blocks(spark, sf_dir):
+    """Every ``conversations`` turn as a query, scored in vectorised blocks."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    queries = S.any_of(spark, S.queries_from_text(turns, "turn_id", X.tokens("text", SIMPLE)))
+    collection = shared_index(spark, sf_dir).collection()
+    return _six(search_batch(collection, queries, K, vectorize_from=0), "score")
+
+
 def bm25_all(spark, sf_dir):
     return _search(spark, sf_dir, TERMS, k=-1)
 
@@ -396,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         multi_field_df, doc_length, length_quantized, collection_stats, doc_freq, idf, length_norm, impacts,
         posting_lists, term_dictionary, term_offsets, index_summary, impact_sample, merge_segments,
         incremental_equals_full, stream_ingest, index_roundtrip, resolve_terms, gather_postings, bm25_topk,
-        bm25_topk_scan, bm25_topk_batch, bm25_all, bm25_scores, bm25_whitelist, bm25_accept_docs,
+        bm25_topk_scan, bm25_topk_batch, bm25_topk_blocks, bm25_all, bm25_scores, bm25_whitelist, bm25_accept_docs,
         bm25_repeat_terms, bm25_distinct_terms, bm25_boost, bm25_no_norms, total_hits, candidate_size,
         match_only, explain_topk, score_all_docs, compare_rankings, geo_distance, geo_nearest, geo_topk,
     )
