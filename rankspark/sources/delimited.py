@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scale import with_positions
+
 TEXT_COLUMN = 2
 ZIP_BATCH = 10_000
 CORRUPT = "_corrupt"
@@ -32,13 +34,36 @@ def read_csv_corpus(
     without them. ``partitions`` spreads the rows after reading, which pays off
     for a few large compressed files.
     """
-    if path.endswith(".zip"):
-        rows = _read_zip(spark, path, text_column)
-    else:
-        rows = _read_plain(spark, path, text_column, multi_line)
+    rows = _read(spark, path, text_column, multi_line).select("text")
     return rows.repartition(partitions) if partitions else rows
 
 
+def read_numbered_csv_corpus(
+    spark: SparkSession,
+    path: str,
+    text_column: int = TEXT_COLUMN,
+    multi_line: bool = True,
+    limit: int | None = None,
+) -> DataFrame:
+    """``(doc_id, text)``: the same records with their ordinals in file order.
+
+    ``limit`` keeps the first so many records.
+    """
+    rows = _read(spark, path, text_column, multi_line).withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("_file"), F.col("_block"), F.col("_row")]
+    numbered = with_positions(rows, order, "doc_id")
+    if limit is not None:
+        numbered = numbered.filter(F.col("doc_id") < limit)
+    return numbered.select("doc_id", "text")
+
+
+def _read(spark: SparkSession, path: str, text_column: int, multi_line: bool) -> DataFrame:
+    """``(text, _file, _block)``."""
+    if path.endswith(".zip"):
+        return _read_zip(spark, path, text_column)
+    return _read_plain(spark, path, text_column, multi_line)
+
+
 def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bool) -> DataFrame:
     names = [f"c{i}" for i in range(text_column)] + ["text"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
@@ -59,7 +84,11 @@ def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bo
     unquoted = F.regexp_replace(CORRUPT, r'"[^"]*"', "")
     wide_enough = F.regexp_count(unquoted, F.lit(",")) >= text_column
     present = F.col("text").isNotNull() | F.col(CORRUPT).isNull() | wide_enough
-    return rows.filter(present).select(F.coalesce("text", F.lit("")).alias("text"))
+    return rows.filter(present).select(
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
 
 
 def _read_zip(spark: SparkSession, path: str, text_column: int) -> DataFrame:
@@ -68,7 +97,7 @@ def _read_zip(spark: SparkSession, path: str, text_column: int) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         csv.field_size_limit(2**31 - 1)
         for batch in batches:
-            for content in batch["content"]:
+            for file, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     entry = archive.namelist()[0]
                     with io.TextIOWrapper(archive.open(entry), encoding="utf-8", newline="") as lines:
@@ -79,9 +108,10 @@ def _read_zip(spark: SparkSession, path: str, text_column: int) -> DataFrame:
                             if len(record) > text_column:
                                 texts.append(record[text_column])
                             if len(texts) == ZIP_BATCH:
-                                yield pd.DataFrame({"text": texts})
+                                yield pd.DataFrame({"text": texts, "_file": file, "_block": 0})
                                 texts = []
-                        yield pd.DataFrame({"text": texts}, dtype="object")
+                        if texts:
+                            yield pd.DataFrame({"text": texts, "_file": file, "_block": 0})
 
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    return archives.mapInPandas(parse, "text string")
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return archives.mapInPandas(parse, "text string, _file string, _block long")

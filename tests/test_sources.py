@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.operators import documents, nearest
-from rankspark.sources.delimited import read_csv_corpus
+from rankspark.sources.delimited import read_csv_corpus, read_numbered_csv_corpus
 from rankspark.sources.points import points_from_columns
 from rankspark.sources.tagged import page_fields, read_abstracts, read_xml_abstracts
 
@@ -37,6 +37,29 @@ def test_csv(spark, tmp_path, kind):
     assert sorted(r["text"] for r in spread.collect()) == TEXTS
 
 
+@pytest.mark.parametrize("kind", ["", ".gz", ".zip"])
+def test_numbered_csv(spark, tmp_path, kind):
+    path = write(tmp_path, kind)
+    want = ['hello "q" world\nline2', "", "plain text", ""]
+    rows = read_numbered_csv_corpus(spark, path)
+    assert [r["text"] for r in sorted(rows.collect())] == want
+    assert [r["doc_id"] for r in sorted(rows.collect())] == [0, 1, 2, 3]
+    assert [r["text"] for r in sorted(read_numbered_csv_corpus(spark, path, limit=3).collect())] == want[:3]
+
+
+def test_numbered_csv_follows_the_file_across_splits(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b,c\n" + "".join(f"x,y,row {i} {'z' * (i % 90)}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_numbered_csv_corpus(spark, str(path), multi_line=False)
+        got = {r["doc_id"]: int(r["text"].split()[1]) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: i for i in range(3000)}
+
+
 def test_csv_of_other_widths(spark, tmp_path):
     path = tmp_path / "w.csv"
     path.write_text('a,b,c\n1,"x,y"\n1,2,\n1,2,t\n1,"x,y",,5,6\n1\n')
