@@ -209,9 +209,12 @@ class Collection:
     def restricted(self, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
         """Postings that can matter to the queries, filtered at the scan where terms are literal."""
         out = self._literal_postings(queries)
-        if accept is not None:
-            out = out.join(accept.select("doc_id"), "doc_id", "left_semi")
-        return out
+        if accept is None:
+            return out
+        if queries.literal is None and queries.small:
+            # Few postings are left for the join with the accepted documents.
+            out = out.join(F.broadcast(queries.terms()), "term", "left_semi")
+        return out.join(accept.select("doc_id"), "doc_id", "left_semi")
 
     def _literal_postings(self, queries: Queries) -> DataFrame:
         if queries.literal is None:

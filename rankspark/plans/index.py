@@ -53,9 +53,19 @@ class StaleIndexError(ValueError):
     """The stored files do not belong to what the caller asked for."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.delete(target, True)
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> str:
@@ -203,8 +213,11 @@ class Index:
     def _write_segment(self, rows: DataFrame, segment: int, replaces: list[int]) -> None:
         segment = int(segment)
         rows = rows.select("doc_id", "term", "tf", "dl", "field")
+        # A segment that is written again is withdrawn first, so a failure half-way leaves it out.
+        _delete(self.spark, f"{self.path}/stats/segment={segment}")
         # A merge reads this same table, so it must add to it; a new id has nothing to replace.
         self._insert(self._postings, rows, f"segment = {segment}, field", overwrite=not replaces)
+        self.spark.catalog.refreshTable(self._postings)
 
         mine = self.spark.table(self._postings).filter(F.col("segment") == segment)
         terms = P.doc_freq(mine.filter(F.col("term").isNotNull()))

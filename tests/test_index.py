@@ -67,6 +67,14 @@ def test_uncommitted_segment_is_invisible(spark, corpus, index):
     same(hits(index.search(TERMS, 10)), brute_of(corpus).top(TERMS, 10))
 
 
+def test_failed_rewrite_leaves_the_segment_out(spark, corpus, index, monkeypatch):
+    index.append(spark.createDataFrame([(900, "alpha")], "doc_id long, text string"), 1)
+    monkeypatch.setattr(R.Index, "_insert", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.append(corpus, 1)
+    assert R.Index.open(spark, index.path).segments() == [0]
+
+
 def test_stale_or_foreign_files_are_refused(spark, corpus, index, tmp_path):
     with pytest.raises(R.StaleIndexError):
         R.Index.open(spark, index.path, analyzer="standard")
@@ -111,7 +119,8 @@ def test_only_the_best_k_are_shuffled(spark, index):
     assert "In(term, [alpha,common,nosuch,rare])" in plan
 
 
-def test_score_all_needs_no_shuffle_of_postings(spark, corpus, index):
+def test_score_all_needs_no_shuffle(spark, corpus, index):
+    assert "Exchange hashpartitioning" not in plan_of(S.score_all(index.collection(), S.any_of(spark, TERMS)))
     got = {r["doc_id"]: r["score"] for r in S.score_all(index.collection(), S.any_of(spark, TERMS)).collect()}
     want = brute_of(corpus).scores(TERMS)
     assert got == pytest.approx({r["doc_id"]: want.get(r["doc_id"], 0.0) for r in corpus.collect()})
