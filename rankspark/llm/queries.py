@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import host_rules
 from .common import table
+from .mixing import mix
 from .simhash_dedup import simhash_components
 
 
@@ -10,5 +12,17 @@ def op5_simhash_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup,)}
-LLM_ORACLE: dict[str, str] = {}
+def op7_host_rules(spark, sf_dir):
+    rows = host_rules.host_rules(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op9_mixing(spark, sf_dir):
+    _, documents = mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op7_host_rules, op9_mixing)}
+LLM_ORACLE = {"op7_host_rules": host_rules.SQL}
