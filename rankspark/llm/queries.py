@@ -6,12 +6,17 @@ from . import host_rules
 from .common import table
 from .mixing import mix
 from .simhash_dedup import simhash_components
+from .toxicity import toxicity
 
 
 def op5_simhash_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_host_rules(spark, sf_dir):
     rows = host_rules.host_rules(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -24,5 +29,5 @@ def op9_mixing(spark, sf_dir):
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op7_host_rules, op9_mixing)}
+LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op9_mixing)}
 LLM_ORACLE = {"op7_host_rules": host_rules.SQL}
