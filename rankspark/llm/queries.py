@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import host_rules
 from .common import table
+from .decontamination import decontamination_hits
 from .mixing import mix
 from .simhash_dedup import simhash_components
 from .toxicity import toxicity
@@ -29,5 +30,9 @@ def op9_mixing(spark, sf_dir):
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op9_mixing)}
+def op10_decontamination(spark, sf_dir):
+    return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op9_mixing, op10_decontamination)}
 LLM_ORACLE = {"op7_host_rules": host_rules.SQL}

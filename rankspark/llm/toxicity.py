@@ -30,6 +30,7 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 18
 MIN_RATIO = 20.0
+FALSE_MARKS = 0.1
 EPOCHS = 30
 RATE = 0.5
 L2 = 1e-6
@@ -175,8 +176,10 @@ def _surprise(n: int, other: int, share: float) -> float:
     return all_of * (rate * np.log(rate / share) + rest)
 
 
-def _summary(p: np.ndarray) -> tuple[float, float, float]:
-    return (1.0, float(p.max()), float(np.log1p(p.sum()))) if len(p) else (1.0, 0.0, 0.0)
+def _summary(p: np.ndarray) -> tuple[float, ...]:
+    """Largest and second largest marginal and the expected number of toxic tokens."""
+    second, first = np.partition(np.concatenate([[0.0, 0.0], p]), -2)[-2:]
+    return 1.0, float(first), float(second), float(np.log1p(p.sum()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -209,8 +212,8 @@ def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> dict:
     for bag, label in zip(bags, labels):
         (toxic if label else clean).update(bag)
     n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
-    # So unlikely to be this one-sided by chance that about one mark in ten samples would be wrong.
-    limit = np.log(10 * max(1, len(toxic)))
+    # Few of so many features are this one-sided by chance; a lone wrong mark is left to the calibration.
+    limit = np.log(FALSE_MARKS * max(1, len(toxic)))
     marks = {
         f
         for f, n in toxic.items()
@@ -275,7 +278,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
                 scores, spans = [fitted["constant"]] * len(texts), [[] for _ in texts]
             else:
                 marginals = tagger.marginals(texts)
-                x = np.array([_summary(p) for p in marginals]).reshape(-1, 3)
+                x = np.array([_summary(p) for p in marginals]).reshape(-1, 4)
                 scores = 1 / (1 + np.exp(-np.clip(x @ fitted["beta"], -30, 30)))
                 spans = [_spans(text, p) for text, p in zip(texts, marginals)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
