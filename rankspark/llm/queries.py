@@ -6,6 +6,7 @@ from . import host_rules
 from .common import table
 from .decontamination import decontamination_hits
 from .mixing import mix
+from .pii import pii
 from .simhash_dedup import simhash_components
 from .toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op7_host_rules(spark, sf_dir):
     )
 
 
+def op8_pii(spark, sf_dir):
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     _, documents = mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,5 +39,5 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op9_mixing, op10_decontamination)}
+LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
 LLM_ORACLE = {"op7_host_rules": host_rules.SQL}

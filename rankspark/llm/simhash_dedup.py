@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import broadcast_if_small
 from .common import batch_bytes, components, map_batches, saved, simhash
 
 #: Buckets of more distinct fingerprints are linked through shared neighbours instead of pairs.
@@ -33,15 +34,17 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp long)`` for every row; null and wordless texts have fingerprint 0."""
+    """``(doc_id, text_hash, fp long)`` for every row; null and wordless texts have fingerprint 0."""
 
     def run(batches):
         for batch in batches:
             prints = [simhash(b.lower().split(), shingle_words) for b in batch_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(rows, "doc_id long, fp long", run)
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_batches(rows, "doc_id long, text_hash long, fp long", run)
 
 
 def near_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -86,7 +89,7 @@ def near_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def link(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """``prints(doc_id, fp)`` plus component_id, the least doc_id reachable over links.
+    """``prints(doc_id, text_hash, fp)`` plus the component's root and component_id, the least doc_id reachable over links.
 
     Links are found between distinct fingerprints, so copies cost one row each.
     Repeated rows stay; an empty table gives an empty one; a null doc_id keeps
@@ -96,8 +99,8 @@ def link(prints: DataFrame, radius: int = 2) -> DataFrame:
     roots = components(near_pairs(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def simhash_components(
@@ -111,3 +114,30 @@ def simhash_components(
     prints = saved(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     linked = link(prints, radius)
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs``, whole, for each component: the one of least id.
+
+    Rows without id come last; of equal rows (id and text) one stays. What goes is found on ids and hashes alone and
+    taken out by an anti-join, so texts are shuffled only where the list of what
+    goes is too large to broadcast.
+    """
+    prints = saved(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
+    linked = link(prints, radius)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    texts = saved(linked.groupBy("root", row.alias("row")).agg(F.count(F.lit(1)).alias("rows")), "texts")
+    first = texts.groupBy("root").agg(F.min("row").alias("first"))
+    goes = texts.join(first, "root").where(F.col("row") != F.col("first")).select("row.*")
+    texts = texts.select("row.*", "rows")
+    hashed = docs.withColumn("_simhash_text", F.xxhash64(docs[text_col].cast("string")))
+    of, there = F.col("gone_id"), F.col("gone_hash")
+    gone = broadcast_if_small(goes.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")))
+    kept = hashed.join(gone, hashed[id_col].cast("long").eqNullSafe(of) & (hashed["_simhash_text"] == there), "left_anti")
+    again = texts.where("rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    again = broadcast_if_small(saved(again.distinct(), "again"))
+    same = kept[id_col].cast("long").eqNullSafe(of) & (kept["_simhash_text"] == there)
+    once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "_simhash_text"])
+    return kept.join(again, same, "left_anti").union(once).drop("_simhash_text")
