@@ -10,8 +10,6 @@ document's score through a logistic calibration on the document labels.
 from __future__ import annotations
 
 import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,8 +20,8 @@ from .common import batch_bytes, map_batches, remainder, shingles
 
 # ---- parameters --------------------------------------------------------------
 #: The classifier is fitted on at most so many labelled rows of either class.
-MAX_TOXIC = 2_000
-MAX_CLEAN = 3_000
+MAX_TOXIC = 1_000
+MAX_CLEAN = 1_500
 #: and only on texts up to this many characters; every text is scored whole.
 MAX_TRAIN_CHARS = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -100,33 +98,54 @@ class Chains:
         inner[self.starts] = False
         at = np.nonzero(inner)[0]
         r, after = forward[at - 1], odds[at] * backward[at]
-        weights = np.stack([np.full(len(at), t[0, 0]), t[0, 1] * after, t[1, 0] * r, t[1, 1] * r * after])
-        return p, (weights / weights.sum(axis=0)).sum(axis=1).reshape(2, 2), at
+        all_moves = t[0, 0] + t[0, 1] * after + t[1, 0] * r + t[1, 1] * r * after
+        shares = ((1 / all_moves).sum(), (after / all_moves).sum(), (r / all_moves).sum(), (r * after / all_moves).sum())
+        return p, t * np.array(shares).reshape(2, 2), at
+
+
+class Encoded:
+    """Texts as numbers: token ids, line lengths and token counts, and the features of each distinct token."""
+
+    def __init__(self, texts: list[bytes]):
+        known: dict[bytes, int] = {}
+        ids, self.lines, self.counts = [], [], []
+        for text in texts:
+            own = _lines(text)
+            self.lines += map(len, own)
+            self.counts.append(sum(map(len, own)))
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for line in own for w in line), np.int32))
+        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.lines = np.array(self.lines, np.int64)
+        self.features = np.zeros((len(known), 5), np.uint64)  # zero: no feature
+        for w, i in known.items():
+            hashes = [xxhash.xxh64_intdigest(f) for f in token_features(w)]
+            self.features[i, : len(hashes)] = hashes
+
+    def documents(self) -> list[np.ndarray]:
+        return np.split(self.ids, np.cumsum(self.counts)[:-1])
+
+
+def _weights_at(features: np.ndarray) -> np.ndarray:
+    """Where the features' weights are; a missing feature is at the end, where the weight stays zero."""
+    return np.where(features == 0, BUCKETS, features % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def fit_tagger(lines: list[list[bytes]], tags: np.ndarray) -> dict:
+def fit_tagger(data: Encoded, tags: np.ndarray) -> dict:
     """Weights by gradient ascent (Adagrad) on the conditional likelihood of ``tags``."""
-    tokens = [w for line in lines for w in line]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-    ids = np.fromiter((distinct[w] for w in tokens), np.int64, len(tokens))
-    rows, columns = [], []
-    for w, i in distinct.items():
-        found = _buckets(w)
-        rows += [i] * len(found)
-        columns += found
-    rows, columns = np.array(rows, np.int64), np.array(columns, np.int64)
-    chains = Chains(np.array([len(line) for line in lines], np.int64))
-    weight, bias, move, start = np.zeros(BUCKETS), -3.0, np.zeros((2, 2)), 0.0
-    _, _, inner = chains.marginals(np.zeros(len(tokens)), 0.0, move, pairs=True)
+    ids, at, n = data.ids, _weights_at(data.features), len(data.features)
+    chains = Chains(data.lines)
+    weight, bias, move, start = np.zeros(BUCKETS + 1), -3.0, np.zeros((2, 2)), 0.0
+    _, _, inner = chains.marginals(np.zeros(len(ids)), 0.0, move, pairs=True)
     seen_moves = np.bincount(tags[inner - 1] * 2 + tags[inner], minlength=4).reshape(2, 2)
-    memory, move_memory, bias_memory = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8), 1e-8
+    memory, move_memory, bias_memory = np.full(BUCKETS + 1, 1e-8), np.full((2, 2), 1e-8), 1e-8
     scale = 1.0 / max(1, int(tags.sum()))
     for _ in range(EPOCHS):
-        emission = np.bincount(rows, weight[columns], len(distinct))[ids] + bias
+        emission = weight[at].sum(axis=1)[ids] + bias
         p, moves, _ = chains.marginals(emission, start, move, pairs=True)
         error = tags - p
-        per_word = np.bincount(ids, error, len(distinct))
-        gradient = np.bincount(columns, per_word[rows], BUCKETS) * scale - L2 * weight
+        per_word = np.bincount(ids, error, n)
+        gradient = np.bincount(at.ravel(), np.repeat(per_word, at.shape[1]), BUCKETS + 1) * scale - L2 * weight
+        gradient[BUCKETS] = 0.0
         memory += gradient**2
         weight += RATE * gradient / np.sqrt(memory)
         change = (seen_moves - moves) * scale
@@ -135,7 +154,7 @@ def fit_tagger(lines: list[list[bytes]], tags: np.ndarray) -> dict:
         slope = float(error.sum()) * scale
         bias_memory += slope**2
         bias += 0.2 * RATE * slope / bias_memory**0.5
-    return {"weight": weight.astype(np.float32), "bias": bias, "move": move, "start": start}
+    return {"weight": weight[:BUCKETS].astype(np.float32), "bias": bias, "move": move, "start": start}
 
 
 class Tagger:
@@ -167,13 +186,12 @@ class Tagger:
         return np.split(p, np.cumsum(counts)[:-1])
 
 
-def _surprise(n: int, other: int, share: float) -> float:
+def _surprise(n: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
     """Bound on -log of the chance that ``n`` or more of ``n + other`` draws fall to a class of ``share``."""
-    all_of, rate = n + other, n / (n + other)
-    if rate <= share:
-        return 0.0
-    rest = (1 - rate) * np.log((1 - rate) / (1 - share)) if other else 0.0
-    return all_of * (rate * np.log(rate / share) + rest)
+    total = np.maximum(n + other, 1)
+    rate = n / total
+    rest = np.where(other > 0, (1 - rate) * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)), 0.0)
+    return np.where(rate > share, total * (rate * np.log(np.maximum(rate, 1e-12) / share) + rest), 0.0)
 
 
 def _summary(p: np.ndarray) -> tuple[float, ...]:
@@ -207,30 +225,27 @@ def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> dict:
     labels = np.array([label for _, label in kept], np.int64)
     if len(set(labels.tolist())) < 2:
         return {"constant": float(labels.mean()) if len(labels) else 0.0}
-    bags = [{f for w in set(text.split()) for f in token_features(w)} for text, _ in kept]
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels):
-        (toxic if label else clean).update(bag)
+    data = Encoded([text for text, _ in kept])
+    names, features = np.unique(data.features, return_inverse=True)
+    features = features.reshape(data.features.shape)
+    counts = np.zeros((2, len(names)))
+    for ids, label in zip(data.documents(), labels):
+        counts[label, np.unique(features[np.unique(ids)])] += 1
+    clean, toxic = counts
     n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
     # Few of so many features are this one-sided by chance; a lone wrong mark is left to the calibration.
-    limit = np.log(FALSE_MARKS * max(1, len(toxic)))
-    marks = {
-        f
-        for f, n in toxic.items()
-        if n / n_toxic >= MIN_RATIO * (clean[f] + 0.1) / n_clean and _surprise(n, clean[f], n_toxic / len(labels)) >= limit
-    }
-    lines, tags, known = [], [], {}
-    for text, label in kept:
-        for line in _lines(text):
-            lines.append(line)
-            for w in line:
-                if w not in known:
-                    known[w] = int(not marks.isdisjoint(token_features(w)))
-                tags.append(label & known[w])
-    if not any(tags):
+    limit = np.log(FALSE_MARKS * max(1, int((toxic > 0).sum())))
+    marks = (toxic / n_toxic >= MIN_RATIO * (clean + 0.1) / n_clean) & (_surprise(toxic, clean, n_toxic / len(labels)) >= limit)
+    marks &= (names != 0) & (toxic > 0)
+    marked = marks[features].any(axis=1)
+    tags = marked[data.ids].astype(np.int64) * np.repeat(labels, data.counts)
+    if not tags.any():
         return {"constant": float(toxic_share)}
-    model = fit_tagger(lines, np.array(tags, np.int64))
-    x = np.array([_summary(p) for p in Tagger(model).marginals([text for text, _ in kept])])
+    model = fit_tagger(data, tags)
+    del data, features, counts
+    tagger, texts = Tagger(model), [text for text, _ in kept]
+    parts = (tagger.marginals(texts[at : at + 100]) for at in range(0, len(texts), 100))
+    x = np.array([_summary(p) for part in parts for p in part])
     weight = np.where(labels == 1, toxic_share / n_toxic, (1 - toxic_share) / n_clean) * len(labels)
     return model | {"beta": _logistic(x, labels, weight)}
 
