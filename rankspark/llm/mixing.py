@@ -175,7 +175,8 @@ def mix(
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     parts = parts.select("row", "source", "block", (high - low).alias("words"))
     met = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))
-    taken = parts.join(uses, met).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    # Both sides grow with the corpus; the planner cannot see that the slots do, so it is told not to broadcast them.
+    taken = parts.join(uses.hint("merge"), met).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     known = plan.select(F.col("source").alias("of"), "source_size", "target")
     rows = laid.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     # Sources can be many: a side of one row per source is joined by size, the larger side may be split at a hot source.
