@@ -5,12 +5,17 @@ from __future__ import annotations
 from . import host_rules
 from .common import table
 from .decontamination import decontamination_hits
+from .lm_scoring import lm_scores
 from .mixing import mix
 from .pii import pii
 from .simhash_dedup import simhash_components
 from .toxicity import toxicity
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
@@ -39,5 +44,5 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
 LLM_ORACLE = {"op7_host_rules": host_rules.SQL}
