@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from pyspark.sql import functions as F
+
+from . import host_rules, tool_calls
 from .common import table
 from .decontamination import decontamination_hits
 from .lm_scoring import lm_scores
@@ -16,6 +18,11 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_tool_calls(spark, sf_dir):
+    parts = tool_calls.conversation_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(*parts).withColumn("errors", F.array_join("errors", ","))
+
+
 def op5_simhash_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
@@ -44,5 +51,5 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
-LLM_ORACLE = {"op7_host_rules": host_rules.SQL}
+LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_tool_calls, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
+LLM_ORACLE = {"op3_tool_calls": tool_calls.SQL, "op7_host_rules": host_rules.SQL}
