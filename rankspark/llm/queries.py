@@ -10,6 +10,7 @@ from .decontamination import decontamination_hits
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .pii import pii
+from .quality import quality
 from .simhash_dedup import simhash_components
 from .toxicity import toxicity
 
@@ -18,6 +19,10 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_tool_calls(spark, sf_dir):
     parts = tool_calls.conversation_calls(table(spark, sf_dir, "conversations"))
     return tool_calls.link_calls(*parts).withColumn("errors", F.array_join("errors", ","))
@@ -51,5 +56,5 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_tool_calls, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_tool_calls, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
 LLM_ORACLE = {"op3_tool_calls": tool_calls.SQL, "op7_host_rules": host_rules.SQL}
