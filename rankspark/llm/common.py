@@ -15,6 +15,8 @@ from ..operators.scale import scratch_dir
 #: Words are runs of anything but these six characters; bytes.split() cuts at the same six.
 WORD = "[^\\x20\\x09-\\x0D]+"
 XX_SEED = 42
+#: Text that a task holds as words at a time.
+CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,20 @@ def batch_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES):
+    """Arrow batches cut to pieces of bounded text (or one text), each with its texts as UTF-8."""
+    for batch in batches:
+        texts = batch_bytes(batch, column)
+        low, size = 0, 0
+        for at, text in enumerate(texts):
+            if size and size + len(text) > most:
+                yield batch.slice(low, at - low), texts[low:at]
+                low, size = at, 0
+            size += len(text)
+        if texts:
+            yield batch.slice(low), texts[low:]
+
+
 def shingles(words: list[bytes], k: int) -> list[bytes]:
     """All runs of ``k`` words, repeats included; shorter texts are one shingle, empty ones none."""
     if len(words) <= k:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, map_batches, partitions, remainder, saved
+from .common import chunks, map_batches, partitions, remainder, saved
 
 # ---- parameters --------------------------------------------------------------
 FOLDS, HELD_OUT = 5, 1
@@ -37,7 +37,6 @@ DELETED = 10
 HEAD_WORDS = 1 << 18
 #: Tokens counted by one task.
 TASK_TOKENS = 1 << 21
-CHUNK_BYTES = 16 << 20
 EM_ROUNDS = 60
 CONTEXT_BUCKETS = 40
 # ------------------------------------------------------------------------------
@@ -60,20 +59,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return [a.T.copy().view(np.uint32).ravel() if a.ndim == 2 else a for a in pickle.loads(raw)]
 
 
-def _chunks(batches):
-    """Arrow batches cut to pieces of bounded text."""
-    for batch in batches:
-        texts = batch_bytes(batch, "text")
-        low, size = 0, 0
-        for at, text in enumerate(texts):
-            if size and size + len(text) > CHUNK_BYTES:
-                yield batch.slice(low, at - low), texts[low:at]
-                low, size = at, 0
-            size += len(text)
-        if texts:
-            yield batch.slice(low), texts[low:]
-
-
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
@@ -89,7 +74,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     """``(word binary, c, deleted)`` of the training rows of ``rows(text, role)``; the end is the empty word."""
 
     def run(batches):
-        for batch, texts in _chunks(batches):
+        for batch, texts in chunks(batches, "text"):
             words, ids, lengths = _numbered(texts)
             role = np.repeat(batch.column("role").to_numpy(zero_copy_only=False), lengths)
             c = np.bincount(ids[role != TEST], minlength=len(words))
@@ -136,7 +121,7 @@ def _spread(rows: DataFrame, shared, groups: int) -> DataFrame:
         head = shared.value
         index = {w: i for i, w in enumerate(head["words"])}
         n_head, log_c = len(index), np.log10(head["c"] + 0.5)
-        for batch, texts in _chunks(batches):
+        for batch, texts in chunks(batches, "text"):
             words, ids, lengths = _numbered(texts)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
             place = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))

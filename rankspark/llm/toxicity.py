@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, map_batches, remainder, shingles
+from .common import chunks, map_batches, remainder, shingles
 
 # ---- parameters --------------------------------------------------------------
 #: The classifier is fitted on at most so many labelled rows of either class.
@@ -286,8 +286,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     def run(batches):
         fitted = shared.value
         tagger = None if "constant" in fitted else Tagger(fitted)
-        for batch in batches:
-            texts = batch_bytes(batch, text_col)
+        for batch, texts in chunks(batches, text_col):
             scores, spans = [], []
             if tagger is None:
                 scores, spans = [fitted["constant"]] * len(texts), [[] for _ in texts]
