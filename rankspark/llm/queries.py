@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import host_rules, tool_calls
 from .common import table
 from .decontamination import decontamination_hits
+from .html_extraction import extract
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .pii import pii
@@ -28,6 +29,10 @@ def op3_tool_calls(spark, sf_dir):
     return tool_calls.link_calls(*parts).withColumn("errors", F.array_join("errors", ","))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
@@ -56,5 +61,5 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_tool_calls, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
+LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_tool_calls, op4_html_extraction, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
 LLM_ORACLE = {"op3_tool_calls": tool_calls.SQL, "op7_host_rules": host_rules.SQL}
