@@ -7,9 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+from rankspark.plans.oracle import ORACLE
+from rankspark.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +30,8 @@ def normal(frame):
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= entry_point.queries().keys()
+    assert ORACLE.keys() <= entry_point.oracle_sql().keys() <= entry_point.queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
