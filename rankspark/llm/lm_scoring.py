@@ -174,39 +174,40 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 def _count_pairs(spread: DataFrame, shared) -> DataFrame:
-    """``(kind, chunk, data, bins, counts)``: for each text's tokens context bucket and estimates (kind 0), sums
-    for rarer tokens (1), texts as before (2), and binned counts of the deleted part (3)."""
+    """``(kind, chunk, data, bins, counts)``: for each text's tokens the pair's count, context and token (kind 0),
+    sums for rarer tokens (1), texts as before (2), and binned counts of the deleted part (3)."""
 
     def pairs(rows, head):
         n_head = len(head["c"])
         parts = [_unpack(r[1]) for r in rows]
-        before, code = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (3, 4))
+        before, code = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
         role = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-        _, at = np.unique(before << 32 | code, return_inverse=True)
-        train, part = (role != TEST).astype(np.float64), (role == PART).astype(np.float64)
-        both, both_part = (np.bincount(at, w)[at] for w in (train, part))
-        first, first_part = np.zeros(len(code)), np.zeros(len(code))
-        common = before < n_head
-        first[common], first_part[common] = head["c"][before[common]], head["deleted"][before[common]]
-        if not common.all():
-            _, own = np.unique(before[~common], return_inverse=True)
-            first[~common], first_part[~common] = (np.bincount(own, w[~common])[own] for w in (train, part))
-        known = code < n_head
-        single, single_part = np.zeros(len(code)), np.zeros(len(code))
-        single[known], single_part[known] = head["c"][code[known]], head["deleted"][code[known]]
-        uni = np.where(known, single / max(head["N"], 1), head["rest"])
-        bi = both / np.maximum(first, 1)
-        deleted = np.nonzero(role == PART)[0]
-        rest_first = (first - first_part)[deleted]
-        d_bi = (both - both_part)[deleted] / np.maximum(rest_first, 1)
-        d_uni = (single - single_part)[deleted] / max(head["N"] - head["N_deleted"], 1)
-        d_uni = np.where(known[deleted], d_uni, head["rest"])
-        bins, counts = np.unique((_bucket(rest_first) * LEVELS + _bin(d_bi)) * LEVELS + _bin(d_uni), return_counts=True)
+        train, part = role != TEST, role == PART
+        deleted = np.nonzero(part)[0]
+        _, at = np.unique(before.astype(np.uint64) << np.uint64(32) | code, return_inverse=True)
+        both = np.bincount(at, train)[at].astype(np.uint32)
+        left = both[deleted] - np.bincount(at, part)[at[deleted]]
+        del at
+        # A context outside the sent words is counted here, and stands for itself by its count.
+        rare = np.nonzero(before >= n_head)[0]
+        first_deleted = head["deleted"][np.minimum(before[deleted], n_head - 1)] if n_head else np.zeros(len(deleted))
+        if len(rare):
+            _, own = np.unique(before[rare], return_inverse=True)
+            part_of = np.zeros(len(before), np.uint32)
+            part_of[rare] = np.bincount(own, part[rare])[own]
+            before[rare] = n_head + np.bincount(own, train[rare])[own].astype(np.uint32)
+            first_deleted = np.where(before[deleted] >= n_head, part_of[deleted], first_deleted)
+            del own, part_of
+        code = np.minimum(code, np.uint32(n_head))
+        first, single = _known(head, before[deleted], code[deleted])
+        first = first - first_deleted
+        c_deleted = np.append(head["deleted"], 0.0)[code[deleted]]
+        uni = np.where(code[deleted] < n_head, (single * head["N"] - c_deleted) / max(head["N"] - head["N_deleted"], 1), single)
+        bins, counts = np.unique((_bucket(first) * LEVELS + _bin(left / np.maximum(first, 1))) * LEVELS + _bin(uni), return_counts=True)
         low = 0
         for (chunk, _), p in zip(rows, parts):
             high = low + len(p[3])
-            values = (_bucket(first[low:high]).astype(np.uint8), bi[low:high].astype(np.float32).view(np.uint32), uni[low:high].astype(np.float32).view(np.uint32))
-            yield 0, chunk, _pack(p[0], p[1], *values), None, None
+            yield 0, chunk, _pack(p[0], p[1], both[low:high], before[low:high], code[low:high]), None, None
             low = high
         yield 3, 0, None, bins.tolist(), counts.tolist()
 
@@ -236,6 +237,13 @@ def _count_pairs(spread: DataFrame, shared) -> DataFrame:
     return map_batches(spread, "kind int, chunk long, data binary, bins array<long>, counts array<long>", run)
 
 
+def _known(head: dict, before: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context's count and the token's unigram estimate, from what ``_count_pairs`` writes for them."""
+    n_head = len(head["c"])
+    first = np.where(before < n_head, np.append(head["c"], 0.0)[np.minimum(before, n_head)], before.astype(np.float64) - n_head)
+    return first, np.append(head["c"] / max(head["N"], 1), head["rest"])[code]
+
+
 def learn_weights(bins: np.ndarray, counts: np.ndarray, uniform: float) -> np.ndarray:
     """Per context bucket the weights of bigram, unigram and uniform estimate, by expectation-maximisation.
 
@@ -261,37 +269,48 @@ def learn_weights(bins: np.ndarray, counts: np.ndarray, uniform: float) -> np.nd
     return out
 
 
-def _scores(counted: DataFrame, weights: np.ndarray, head: dict) -> DataFrame:
-    uniform, n, v = 1.0 / (head["V"] + 1), head["N"], head["V"]
+def _scores(counted: DataFrame, weights: np.ndarray, shared) -> DataFrame:
+    def summed(batches):
+        head = shared.value
+        uniform = 1.0 / (head["V"] + 1)
+        for batch in batches:
+            kinds, data = batch.column("kind").to_pylist(), batch.column("data").to_pylist()
+            for k in (k for k, kind in enumerate(kinds) if kind == 0):
+                own, counts, both, before, code = _unpack(data[k])
+                first, uni = _known(head, before, code)
+                w = weights[_bucket(first)]
+                p = w[:, 0] * both / np.maximum(first, 1) + w[:, 1] * uni + w[:, 2] * uniform
+                data[k] = _pack(own, np.add.reduceat(np.log10(p), np.cumsum(counts.astype(np.int64)) - counts))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("kind"), pa.array(data, pa.binary())], ["chunk", "kind", "data"])
 
     def run(table: pa.Table) -> pa.Table:
+        head = shared.value
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         doc_ids, role, lengths, known, base = pickle.loads(data[kinds.index(2)])
         score, known, base = np.zeros(len(lengths)), known.copy(), base.copy()
         for kind, packed in zip(kinds, data):
             if kind == 0:
-                own, counts, bucket, bi, uni = _unpack(packed)
-                w = weights[bucket]
-                p = w[:, 0] * bi.view(np.float32) + w[:, 1] * uni.view(np.float32) + w[:, 2] * uniform
-                score[own] += np.add.reduceat(np.log10(p), np.cumsum(counts.astype(np.int64)) - counts)
+                own, logs = _unpack(packed)
+                score[own] += logs
             elif kind == 1:
                 own, logs, seen = _unpack(packed)
                 base[own] += logs
                 known[own] += seen
-        base = base - lengths * math.log10(n + 0.5 * (v + 1))
+        base = base - lengths * math.log10(head["N"] + 0.5 * (head["V"] + 1))
         columns = {
             "doc_id": pa.array(pickle.loads(doc_ids), pa.int64()),
             "held_out": pa.array(role == TEST),
             "n_tokens": pa.array(lengths, pa.int64()),
             "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array(np.full(len(lengths), n), pa.int64()),
+            "train_tokens": pa.array(np.full(len(lengths), head["N"]), pa.int64()),
             "base_score": pa.array(base, pa.float64()),
             "score": pa.array(score, pa.float64()),
         }
         return pa.table(columns)
 
+    parts = map_batches(counted.where("kind < 3").select("chunk", "kind", "data"), "chunk long, kind int, data binary", summed)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return counted.where("kind < 3").select("chunk", "kind", "data").groupBy("chunk").applyInArrow(run, schema)
+    return parts.groupBy("chunk").applyInArrow(run, schema)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
@@ -315,4 +334,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     learned = counted.where("kind = 3").select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts").alias("n"))
     bins = learned.collect()  # at most CONTEXT_BUCKETS * LEVELS ** 2, in fact some ten thousand
     weights = learn_weights(np.array([b[0] for b in bins], np.int64), np.array([b[1] for b in bins], np.float64), 1.0 / (head["V"] + 1))
-    return _scores(counted, weights, {k: head[k] for k in ("N", "V")})
+    return _scores(counted, weights, shared)
