@@ -1,0 +1,75 @@
+"""The pipeline stage by stage, and all registered queries of the subpackage."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from rankspark.llm import mixing, pii, simhash_dedup, toxicity
+from rankspark.llm.queries import LLM_ORACLE, LLM_QUERIES
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").persist()
+    columns = docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "decontamination", "pii", "mixing"]
+    toxic, copies, leaks, private, mix = (f for _, f in corpus_pipeline.STAGES)
+    rows = lambda df: sorted(df.collect(), key=repr)
+
+    kept = toxic(spark, docs, sf_dir).persist()
+    scores = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert kept.columns == columns
+    assert rows(kept) == rows(docs.join(scores.where("predicted = 0").select("doc_id"), "doc_id").select(columns))
+
+    single = copies(spark, kept, sf_dir).persist()
+    groups = simhash_dedup.simhash_components(kept).collect()
+    assert single.columns == columns and 0 < single.count() < kept.count()
+    assert rows(single) == rows(kept.where(kept.doc_id.isin([r.component_id for r in groups])))
+
+    clean = leaks(spark, single, sf_dir).persist()
+    items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    holds = lambda text: any(f" {i} " in f" {' '.join(text.lower().split())} " for i in items)
+    gone = {r.doc_id for r in single.collect()} - {r.doc_id for r in clean.collect()}
+    assert clean.columns == columns
+    assert {r.doc_id for r in single.collect() if holds(r.text)} <= gone and len(gone) <= 0.1 * single.count()
+
+    hidden = private(spark, clean, sf_dir).persist()
+    want = {r.doc_id: r.text for r in pii.pii(clean).collect()}
+    assert hidden.columns == columns and hidden.count() == clean.count()
+    assert all(r.text == want[r.doc_id] and r.n_chars == len(r.text) for r in hidden.collect())
+
+    last = mix(spark, hidden, sf_dir)
+    plain = mixing.mix(hidden)[1].select(last.columns)
+    assert rows(last) == rows(plain)
+    assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(last)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "a clean text of some words here", None, "x", 31)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), schema)
+        assert {r.doc_id for r in docs.collect()} == ({1, 2} if given else set())
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()} == ({1, 2} if given else set())
+
+
+def normal(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted(map(repr, frame.astype(object).itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", sorted(LLM_ORACLE))
+def test_query_against_its_sql(name, spark, sf_dir):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        connection.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    assert normal(LLM_QUERIES[name](spark, sf_dir).toPandas()) == normal(connection.sql(LLM_ORACLE[name]).df())
+
+
+@pytest.mark.parametrize(("name", "of"), [(n, "pages" if "html" in n else "documents") for n in sorted(LLM_QUERIES) if n not in LLM_ORACLE and "op10" not in n])
+def test_query_has_a_row_for_every_row(name, of, spark, sf_dir):
+    assert LLM_QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{of}.parquet").count()
