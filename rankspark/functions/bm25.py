@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 K1 = 1.2
 B = 0.75
 
-# Ranking compares scores rounded to this many units per point, so that equal
-# scores summed in another order still tie and fall back to the document id.
-RANK_UNITS = 1_000_000
-
 
 def idf(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
@@ -42,4 +38,8 @@ def partial_score(tf: Column, norm: Column, idf_: Column, k1: float = K1) -> Col
 
 
 def rank_key(score: Column) -> Column:
-    return F.floor(score * RANK_UNITS + 0.5)
+    """What ranking compares: the score to seven digits, whatever its size.
+
+    Equal scores summed in another order still tie and fall back to the document id.
+    """
+    return score.cast("float")

@@ -26,11 +26,14 @@ WINDOW_K = 1_000
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables, shared by all executors.
 
-    Under ``spark.checkpoint.dir`` when the cluster names one; a local
-    temporary folder otherwise, as in tests.
+    Under ``spark.checkpoint.dir`` when the cluster names one, else under the
+    session's checkpoint folder. Only a local master may go without either, as
+    in tests: there a temporary folder serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="rankspark-")
     jvm = spark.sparkContext._jvm
     return f"{base.rstrip('/')}/rankspark-{jvm.java.util.UUID.randomUUID().toString()}"
@@ -113,7 +116,7 @@ def take_first(df: DataFrame, order: list[Column], n: int) -> DataFrame:
         return df.limit(0)
     if n <= WINDOW_K:
         return df.orderBy(*order).limit(n)
-    return with_positions(df, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
+    return with_positions(df, order, "_pos").filter(F.col("_pos") < n).orderBy("_pos").drop("_pos")
 
 
 def join_term_stats(

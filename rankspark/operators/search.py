@@ -71,8 +71,8 @@ class Queries:
         return self.occurrences.select("term").distinct()
 
     def distinct_terms(self) -> Queries:
-        """The same queries with every term counted once."""
-        return replace(self, frame=self.frame.dropDuplicates(["query_id", "term"]), packed=None)
+        """The same queries with every term counted once, at its largest boost."""
+        return replace(self, frame=self.frame.groupBy("query_id", "term").agg(F.max("boost").alias("boost")), packed=None)
 
     def boosted(self, factor: float) -> Queries:
         frame = self.frame.withColumn("boost", F.col("boost") * F.lit(float(factor)))
@@ -107,16 +107,16 @@ def any_of(spark: SparkSession, queries: object, boost: float = 1.0) -> Queries:
     """Take in OR queries over exact terms (terms are not analyzed).
 
     ``queries`` is a list of terms (query 0), a mapping from query id to a list
-    of terms, or a DataFrame ``(query_id, term[, boost])``. Anything else, such
+    of terms, or a DataFrame ``(query_id, term[, boost])``; a null boost is 1. Anything else, such
     as required or excluded clauses, raises ``ValueError``.
     """
     if isinstance(queries, Queries):
-        return queries
+        return queries if boost == 1.0 else queries.boosted(boost)
     if isinstance(queries, DataFrame):
         missing = {"query_id", "term"} - set(queries.columns)
         if missing:
             raise ValueError(f"query table lacks {sorted(missing)}")
-        given = F.col("boost").cast("double") if "boost" in queries.columns else F.lit(1.0)
+        given = F.coalesce(F.col("boost").cast("double"), F.lit(1.0)) if "boost" in queries.columns else F.lit(1.0)
         frame = queries.select("query_id", "term", (given * F.lit(float(boost))).alias("boost"))
         return Queries(frame, None, measured_small(frame))
     by_id = queries if isinstance(queries, Mapping) else {0: queries}
@@ -287,7 +287,7 @@ def sum_partials(gathered: DataFrame) -> DataFrame:
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per query, ties by document id; all with a positive score if ``k < 0``."""
-    columns = ["query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"]
+    columns = ["query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"]
     keyed = scored.withColumn("_key", bm25.rank_key(F.col("score")))
     if 0 <= k <= WINDOW_K:
         best = Window.partitionBy("query_id").orderBy(F.desc("_key"), F.asc("doc_id"))
@@ -297,9 +297,7 @@ def rank(scored: DataFrame, k: int) -> DataFrame:
     placed = with_positions(keyed, [F.asc("query_id"), F.desc("_key"), F.asc("doc_id")], "_pos")
     first = broadcast_if_small(placed.groupBy("query_id").agg(F.min("_pos").alias("_first")))
     placed = placed.join(first, "query_id").withColumn("rank", F.col("_pos") - F.col("_first") + 1)
-    return (placed.filter(F.col("rank") <= k) if k > 0 else placed).select(
-        "query_id", "rank", "doc_id", "score"
-    )
+    return (placed.filter(F.col("rank") <= k) if k > 0 else placed).select(*columns)
 
 
 def search(
@@ -342,7 +340,8 @@ def explain(collection: Collection, queries: Queries, hits: DataFrame) -> DataFr
     """One row per hit and matching term with every factor of the partial score."""
     # Stored first, so that the ranking does not run again to be measured and joined.
     wanted = broadcast_if_small(cut_lineage(hits.select("query_id", "doc_id")))
-    return gather(collection, queries).join(wanted, ["query_id", "doc_id"], "left_semi").select(
+    # Postings of other documents are left out before they are paired with queries.
+    return gather(collection, queries, accept=wanted.select("doc_id").distinct()).join(wanted, ["query_id", "doc_id"], "left_semi").select(
         "query_id", "doc_id", "term", "tf", "df", "idf", "dl", "norm", "boost", "partial"
     )
 

@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bm25
-from ..functions.text import ANALYZERS
+from ..functions.text import ANALYZERS, ENGLISH_STOP_WORDS
 from ..operators import dictionary as D
 from ..operators import postings as P
 from ..operators import search as S
 from ..operators.batch import search_batch
 
 DEFAULT_FIELD = "body"
-FORMAT = 1
+#: Segment numbers that a stream has to itself.
+STREAM_SEGMENTS = 1_000_000
+FORMAT = 2
 
 MANIFEST_SCHEMA = (
     "format int, analyzer string, stop_words array<string>, shards int, "
@@ -43,10 +45,24 @@ MANIFEST_SCHEMA = (
 TERMS_SCHEMA = "term string, df long, segment long, field string"
 STATS_SCHEMA = (
     "field string, n_docs long, total_docs long, sum_ttf long, n_postings long, "
-    "replaces array<long>, segment long"
+    "replaces array<long>, commit string, segment long"
 )
 DICTIONARY_SCHEMA = "term string, df long, term_id long, start long, end long, field string"
-INFO_SCHEMA = "field string, k1 double, b double, quantize boolean, vocabulary string, segments array<long>"
+INFO_SCHEMA = "field string, k1 double, b double, quantize boolean, vocabulary string, commits array<string>"
+
+
+#: Stands for "whatever vocabulary a snapshot has".
+ANY_VOCABULARY = object()
+
+
+def _vocabulary_hash(vocabulary: DataFrame | Iterable[str] | None) -> str:
+    """``all``, or a hash of the distinct words."""
+    if vocabulary is None:
+        return "all"
+    if isinstance(vocabulary, DataFrame):
+        words = vocabulary.select(F.col(vocabulary.columns[0]).alias("w")).where("w is not null").distinct()
+        return str(tuple(words.agg(F.count("w"), F.bit_xor(F.xxhash64("w")), F.sum(F.xxhash64("w").cast("decimal(38,0)"))).first()))
+    return hashlib.sha1("\n".join(sorted(set(vocabulary))).encode()).hexdigest()
 
 
 class StaleIndexError(ValueError):
@@ -83,6 +99,7 @@ class Index:
         self.path = path.rstrip("/")
         self.manifest = dict(manifest)
         self._stats: list | None = None
+        self._replaced: set[int] = set()
         self._collections: dict[str, S.Collection] = {}
         self._postings = self._table("postings", "doc_id BIGINT, term STRING, tf INT, dl INT", "segment BIGINT, field STRING")
 
@@ -94,16 +111,22 @@ class Index:
         spark: SparkSession,
         path: str,
         analyzer: str = "standard",
-        stop_words: Iterable[str] = (),
+        stop_words: Iterable[str] | None = None,
         shards: int | None = None,
         k1: float = bm25.K1,
         b: float = bm25.B,
         quantize: bool = True,
         corpus: str = "",
     ) -> Index:
-        """An empty index. ``shards`` defaults to ``spark.sql.shuffle.partitions``."""
+        """An empty index. ``shards`` defaults to ``spark.sql.shuffle.partitions``.
+
+        ``stop_words`` defaults to the 33 English ones for the ``standard``
+        analyzer and to none for others.
+        """
         if analyzer not in ANALYZERS:
             raise ValueError(f"unknown analyzer {analyzer!r}; expected one of {sorted(ANALYZERS)}")
+        if stop_words is None:
+            stop_words = ENGLISH_STOP_WORDS if analyzer == "standard" else ()
         manifest = {
             "format": FORMAT,
             "analyzer": analyzer,
@@ -160,10 +183,36 @@ class Index:
             rows = []
             if _exists(self.spark, f"{self.path}/stats"):
                 rows = self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.path}/stats").collect()
-            replaced = {old for row in rows for old in row["replaces"]}
-            self._stats = [row for row in rows if row["segment"] not in replaced]
+            self._replaced = {old for row in rows for old in row["replaces"]}
+            self._stats = [row for row in rows if row["segment"] not in self._replaced]
         return self._stats
 
+    def _check_number(self, segment: int) -> int:
+        """A number that was merged away stays hidden for ever, so nothing may be written to it."""
+        self._forget()
+        self._stats_rows()
+        if int(segment) in self._replaced:
+            raise ValueError(f"segment {segment} was merged into another; take {self.free_segment()} or above")
+        return int(segment)
+
+    def free_segment(self) -> int:
+        """The least number above all that were ever committed."""
+        used = {row["segment"] for row in self._stats_rows()} | self._replaced
+        return max(used, default=-1) + 1
+
+    def stream_start(self, name: str) -> int:
+        """The first segment of a named stream: the same again after a restart, else a free million of its own."""
+        where = f"{self.path}/streams/{hashlib.sha1(name.encode()).hexdigest()}"
+        if not _exists(self.spark, f"{where}/_SUCCESS"):
+            self._forget()
+            taken = self.free_segment()
+            if _exists(self.spark, f"{self.path}/streams"):
+                others = self.spark.read.option("recursiveFileLookup", "true").schema("first long").parquet(f"{self.path}/streams")
+                taken = max(taken, (others.agg(F.max("first")).first()[0] or -1) + 1)
+            first = -(-taken // STREAM_SEGMENTS) * STREAM_SEGMENTS
+            self.spark.createDataFrame([(first,)], "first long").coalesce(1).write.mode("overwrite").parquet(where)
+        return self.spark.read.schema("first long").parquet(where).first()[0]
+
     def refresh(self) -> None:
         """See segments other writers have committed since this index was opened."""
         self._forget()
@@ -185,6 +234,7 @@ class Index:
         total = {k: sum(row[k] for row in rows) for k in ("n_docs", "total_docs", "sum_ttf", "n_postings")}
         total["avgdl"] = total["sum_ttf"] / total["n_docs"] if total["n_docs"] else None
         total["segments"] = sorted(row["segment"] for row in rows)
+        total["commits"] = sorted(row["commit"] for row in rows)
         return total
 
     # ---- writing --------------------------------------------------------
@@ -193,8 +243,9 @@ class Index:
         """Write ``documents`` as one segment; writing a segment again replaces it.
 
         One shuffle, of texts by document id. Ids must be unique per field
-        across segments.
+        across segments. A number that was merged away raises ``ValueError``.
         """
+        segment = self._check_number(segment)
         shards = self.manifest["shards"]
         columns = ["doc_id", "text", "field" if "field" in documents.columns else F.lit(DEFAULT_FIELD).alias("field")]
         placed = documents.select(*columns).repartition(shards, "doc_id")
@@ -202,10 +253,16 @@ class Index:
         self._write_segment(P.build_postings(tokenized, keep_empty=True), segment, [])
 
     def merge(self, into: int, segments: Iterable[int] | None = None) -> None:
-        """Rewrite several segments as one; buckets are kept, so nothing is shuffled."""
-        old = sorted(segments if segments is not None else self.segments())
+        """Rewrite several committed segments as one; buckets are kept, so nothing is shuffled.
+
+        May be called again with the same ``into`` after a failure.
+        """
+        into = self._check_number(into)
+        old = sorted(set(segments if segments is not None else self.segments()))
         if into in self.segments():
             raise ValueError(f"segment {into} exists")
+        if unknown := set(old) - set(self.segments()):
+            raise ValueError(f"segments {sorted(unknown)} are not committed or were merged already")
         rows = self.spark.table(self._postings).filter(F.col("segment").isin(old))
         rows = rows.groupBy("field", "doc_id", "term").agg(F.sum("tf").cast("int").alias("tf"), F.max("dl").alias("dl"))
         self._write_segment(rows, into, old)
@@ -215,8 +272,10 @@ class Index:
         rows = rows.select("doc_id", "term", "tf", "dl", "field")
         # A segment that is written again is withdrawn first, so a failure half-way leaves it out.
         _delete(self.spark, f"{self.path}/stats/segment={segment}")
-        # A merge reads this same table, so it must add to it; a new id has nothing to replace.
-        self._insert(self._postings, rows, f"segment = {segment}, field", overwrite=not replaces)
+        # Rows that an earlier, failed writing has left go before new ones are added.
+        self.spark.sql(f"ALTER TABLE {self._postings} DROP IF EXISTS PARTITION (segment = {segment})")
+        _delete(self.spark, f"{self.path}/postings/segment={segment}")
+        self._insert(self._postings, rows, f"segment = {segment}, field", overwrite=False)
         self.spark.catalog.refreshTable(self._postings)
 
         mine = self.spark.table(self._postings).filter(F.col("segment") == segment)
@@ -233,7 +292,7 @@ class Index:
             F.sum("n").alias("n_postings"),
         )
         # Written last: from here on readers see the segment.
-        log = counts.withColumn("replaces", F.lit(replaces).cast("array<long>"))
+        log = counts.withColumn("replaces", F.lit(replaces).cast("array<long>")).withColumn("commit", F.lit(uuid.uuid4().hex))
         log.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment={segment}")
         self._forget()
 
@@ -291,18 +350,20 @@ class Index:
         field: str = DEFAULT_FIELD,
         accept: DataFrame | None = None,
         snapshot: str | None = None,
+        vocabulary: object = ANY_VOCABULARY,
         **options,
     ) -> DataFrame:
         """Best ``k`` documents per query; all of them when ``k < 0``.
 
-        ``snapshot`` reads precomputed partial scores instead of raw postings;
+        ``snapshot`` reads precomputed partial scores instead of raw postings,
+        a given ``vocabulary`` (None: all words) must be the one it was made for;
         ``options`` (``k1``, ``b``, ``quantize``, ``use_norms``) apply to the latter.
         """
         queries = S.any_of(self.spark, queries)
         if snapshot is not None:
             if options:
                 raise ValueError("a snapshot has its parameters built in")
-            return S.search_impacts(self.impacts(field, snapshot), queries, k, accept)
+            return S.search_impacts(self.impacts(field, snapshot, vocabulary), queries, k, accept)
         collection = self.collection(field).with_options(**options)
         if queries.literal is None:
             return search_batch(collection, queries, k, accept)
@@ -316,6 +377,8 @@ class Index:
         Scores depend on collection totals, so later segments make it stale.
         """
         base = f"snapshots/{name}"
+        # Withdrawn first: a snapshot that is being rewritten answers nothing.
+        _delete(self.spark, f"{self.path}/{base}/info")
         table = self._table(f"{base}/impacts", "doc_id BIGINT, term STRING, partial DOUBLE", "field STRING")
         info = []
         dictionaries = None
@@ -329,9 +392,8 @@ class Index:
             words = P.keep_terms(self.dictionary(field), vocabulary)
             words = D.term_dictionary(words).withColumn("field", F.lit(field))
             dictionaries = words if dictionaries is None else dictionaries.unionByName(words)
-            kind = "all" if vocabulary is None else "restricted"
             m = self.manifest
-            info.append((field, m["k1"], m["b"], m["quantize"], kind, stats["segments"]))
+            info.append((field, m["k1"], m["b"], m["quantize"], _vocabulary_hash(vocabulary), stats["commits"]))
         if not info:
             raise ValueError("the index is empty")
         dictionaries.write.mode("overwrite").partitionBy("field").parquet(f"{self.path}/{base}/dictionary")
@@ -339,19 +401,21 @@ class Index:
             f"{self.path}/{base}/info"
         )
 
-    def _check_snapshot(self, field: str, name: str) -> None:
+    def _check_snapshot(self, field: str, name: str, vocabulary: object = ANY_VOCABULARY) -> None:
         where = f"{self.path}/snapshots/{name}/info"
         if not _exists(self.spark, where):
             raise StaleIndexError(f"no snapshot {name!r}")
         row = self.spark.read.schema(INFO_SCHEMA).parquet(where).filter(F.col("field") == field).first()
         if row is None:
             raise ValueError(f"no field {field!r} in snapshot {name!r}")
-        if sorted(row["segments"]) != self.stats(field)["segments"]:
+        if sorted(row["commits"]) != self.stats(field)["commits"]:
             raise StaleIndexError(f"snapshot {name!r} was made from other segments; take it again")
+        if vocabulary is not ANY_VOCABULARY and row["vocabulary"] != _vocabulary_hash(vocabulary):
+            raise StaleIndexError(f"snapshot {name!r} was made for another vocabulary")
 
-    def impacts(self, field: str = DEFAULT_FIELD, snapshot: str = "default") -> DataFrame:
-        """``(term, doc_id, partial)`` as stored."""
-        self._check_snapshot(field, snapshot)
+    def impacts(self, field: str = DEFAULT_FIELD, snapshot: str = "default", vocabulary: object = ANY_VOCABULARY) -> DataFrame:
+        """``(term, doc_id, partial)`` as stored; a given ``vocabulary`` (None: all words) must be the snapshot's."""
+        self._check_snapshot(field, snapshot, vocabulary)
         table = self._table(
             f"snapshots/{snapshot}/impacts", "doc_id BIGINT, term STRING, partial DOUBLE", "field STRING"
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import ENGLISH_STOP_WORDS
-from .queries import BOOST, K, POINT, REPEATED, SEVERAL, TERMS, WHITELIST
+from .queries import BOOST, K, POINT, REPEATED, SEVERAL, SMALL_BOOST, TERMS, WHITELIST
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -52,8 +52,8 @@ TURNS = f"""q AS (SELECT DISTINCT query_id, term FROM (
 
 SCORES = """scores AS (SELECT query_id, doc_id, sum(partial) AS score
                        FROM q JOIN parts USING (term) GROUP BY query_id, doc_id)"""
-RANKED = """ranked AS (SELECT query_id, CAST(row_number() OVER (
-    PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores)"""
+RANKED = """ranked AS MATERIALIZED (SELECT query_id, row_number() OVER (
+    PARTITION BY query_id ORDER BY CAST(score AS FLOAT) DESC, doc_id) AS rank, doc_id, score FROM scores)"""
 
 
 def _with(*ctes: str) -> str:
@@ -146,6 +146,8 @@ ORACLE: dict[str, str] = {
     "merge_segments": _with(TOKENS, TF)
     + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf FROM tf GROUP BY term",
     "incremental_equals_full": _retrieval(BATCH, TOP),
+    "append_after_merge": _with(TOKENS, TF, DF) + " SELECT term, df FROM dfs",
+    "stream_into_built_index": _with(TOKENS, TF, DF) + " SELECT term, df FROM dfs",
     "stream_ingest": _with(TOKENS, TF, DF) + " SELECT term, df FROM dfs",
     "index_roundtrip": _with(BASE, _parts(), OFFSETS)
     + """, agg AS (SELECT term, count(*) AS n, round(sum(partial), 4) AS total FROM parts GROUP BY term)
@@ -159,7 +161,7 @@ ORACLE: dict[str, str] = {
     "bm25_topk_batch": _retrieval(BATCH, TOP),
     "bm25_topk_blocks": _retrieval(TURNS, TOP),
     "bm25_all": _retrieval(
-        SINGLE, "SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM ranked"
+        SINGLE, "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked"
     ),
     "bm25_scores": _retrieval(SINGLE, "SELECT doc_id, round(score, 6) AS score FROM scores"),
     "bm25_whitelist": _retrieval(
@@ -188,6 +190,15 @@ ORACLE: dict[str, str] = {
     )
     + "\n"
     + TOP,
+    "bm25_small_boost": _with(
+        BASE,
+        _parts(),
+        SINGLE,
+        f"""scores AS (SELECT query_id, doc_id, sum({SMALL_BOOST}::DOUBLE * partial) AS score
+            FROM q JOIN parts USING (term) GROUP BY query_id, doc_id)""",
+        RANKED,
+    )
+    + f" SELECT query_id, rank, doc_id, round(score * 1e7, 6) AS score FROM ranked WHERE rank <= {K}",
     "bm25_no_norms": _retrieval(SINGLE, TOP, _parts("1")),
     "total_hits": _retrieval(
         _queries(SEVERAL),
@@ -219,7 +230,7 @@ ORACLE: dict[str, str] = {
         SCORES,
         SCORES.replace("scores AS", "scores2 AS", 1).replace("JOIN parts", "JOIN parts2"),
         RANKED,
-        RANKED.replace("ranked AS", "ranked2 AS", 1).replace("FROM scores", "FROM scores2"),
+        RANKED.replace("ranked AS MATERIALIZED", "ranked2 AS", 1).replace("FROM scores", "FROM scores2"),
     )
     + f""" SELECT query_id, doc_id, coalesce(a.rank, 0) AS left_rank, coalesce(b.rank, 0) AS right_rank,
             round(a.score, 6) AS left_score, round(b.score, 6) AS right_score,

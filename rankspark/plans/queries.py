@@ -34,6 +34,7 @@ WHITELIST = ["the", "anshwh"]
 SEVERAL = {0: TERMS, 1: ["nosuch"], 2: [], 3: ["The"], 4: ["und", "der", "the"]}
 K = 10
 BOOST = 2.0
+SMALL_BOOST = 1e-7
 POINT = (0.1, -0.2)
 SEGMENTS = 4
 SIMPLE = "simple"
@@ -259,6 +260,28 @@ def stream_ingest(spark, sf_dir):
     return index.dictionary()
 
 
+def append_after_merge(spark, sf_dir):
+    """A segment added after a merge, under a free number, is found with the merged ones."""
+    index = Index.create(spark, f"{scratch_dir(spark)}/index", analyzer=SIMPLE)
+    rows = documents(spark, sf_dir)
+    for segment in (0, 1):
+        index.append(rows.filter(F.pmod("doc_id", F.lit(3)) == segment), segment)
+    index.merge(into=2)
+    index.append(rows.filter(F.pmod("doc_id", F.lit(3)) == 2), index.free_segment())
+    return index.dictionary()
+
+
+def stream_into_built_index(spark, sf_dir):
+    """A stream into an index that holds documents already adds to them."""
+    where = scratch_dir(spark)
+    rows = documents(spark, sf_dir)
+    index = Index.build(spark, f"{where}/index", rows.filter("doc_id % 2 = 0"), analyzer=SIMPLE)
+    rows.filter("doc_id % 2 = 1").write.parquet(f"{where}/incoming")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{where}/incoming")
+    stream_into(index, stream, f"{where}/progress").awaitTermination()
+    return index.dictionary()
+
+
 def index_roundtrip(spark, sf_dir):
     built = shared_index(spark, sf_dir)
     built.snapshot("roundtrip")
@@ -342,6 +365,12 @@ def bm25_boost(spark, sf_dir):
     return _search(spark, sf_dir, S.any_of(spark, REPEATED).boosted(BOOST))
 
 
+def bm25_small_boost(spark, sf_dir):
+    """Tiny weights rank as large ones do."""
+    found = shared_index(spark, sf_dir).search(S.any_of(spark, TERMS).boosted(SMALL_BOOST), K)
+    return found.withColumn("score", F.round(F.col("score") * 1e7, 6))
+
+
 def bm25_no_norms(spark, sf_dir):
     return _search(spark, sf_dir, TERMS, use_norms=False)
 
@@ -404,9 +433,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         assign_doc_ids, segment_offsets, tokenize, tokenize_stopwords, tokenize_standard, term_freq,
         multi_field_df, doc_length, length_quantized, collection_stats, doc_freq, idf, length_norm, impacts,
         posting_lists, term_dictionary, term_offsets, index_summary, impact_sample, merge_segments,
-        incremental_equals_full, stream_ingest, index_roundtrip, resolve_terms, gather_postings, bm25_topk,
+        incremental_equals_full, stream_ingest, append_after_merge, stream_into_built_index, index_roundtrip, resolve_terms, gather_postings, bm25_topk,
         bm25_topk_scan, bm25_topk_batch, bm25_topk_blocks, bm25_all, bm25_scores, bm25_whitelist, bm25_accept_docs,
-        bm25_repeat_terms, bm25_distinct_terms, bm25_boost, bm25_no_norms, total_hits, candidate_size,
+        bm25_repeat_terms, bm25_distinct_terms, bm25_boost, bm25_small_boost, bm25_no_norms, total_hits, candidate_size,
         match_only, explain_topk, score_all_docs, compare_rankings, geo_distance, geo_nearest, geo_topk,
     )
 }

@@ -25,6 +25,7 @@ def read_csv_corpus(
     text_column: int = TEXT_COLUMN,
     multi_line: bool = True,
     partitions: int | None = None,
+    escape: str = '"',
 ) -> DataFrame:
     """``(text)``: one column of every record after the header record.
 
@@ -32,9 +33,10 @@ def read_csv_corpus(
     compression follows from the file name. ``multi_line`` allows newlines in
     quoted fields and makes a file one task's work; switch it off for files
     without them. ``partitions`` spreads the rows after reading, which pays off
-    for a few large compressed files.
+    for a few large compressed files. ``escape`` is what a quote inside quotes
+    stands behind: another quote, or a backslash.
     """
-    rows = _read(spark, path, text_column, multi_line).select("text")
+    rows = _read(spark, path, text_column, multi_line, escape).select("text")
     return rows.repartition(partitions) if partitions else rows
 
 
@@ -44,12 +46,13 @@ def read_numbered_csv_corpus(
     text_column: int = TEXT_COLUMN,
     multi_line: bool = True,
     limit: int | None = None,
+    escape: str = '"',
 ) -> DataFrame:
     """``(doc_id, text)``: the same records with their ordinals in file order.
 
     ``limit`` keeps the first so many records.
     """
-    rows = _read(spark, path, text_column, multi_line).withColumn("_row", F.monotonically_increasing_id())
+    rows = _read(spark, path, text_column, multi_line, escape).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("_file"), F.col("_block"), F.col("_row")]
     numbered = with_positions(rows, order, "doc_id")
     if limit is not None:
@@ -57,14 +60,14 @@ def read_numbered_csv_corpus(
     return numbered.select("doc_id", "text")
 
 
-def _read(spark: SparkSession, path: str, text_column: int, multi_line: bool) -> DataFrame:
+def _read(spark: SparkSession, path: str, text_column: int, multi_line: bool, escape: str) -> DataFrame:
     """``(text, _file, _block)``."""
     if path.endswith(".zip"):
-        return _read_zip(spark, path, text_column)
-    return _read_plain(spark, path, text_column, multi_line)
+        return _read_zip(spark, path, text_column, escape)
+    return _read_plain(spark, path, text_column, multi_line, escape)
 
 
-def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bool) -> DataFrame:
+def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bool, escape: str) -> DataFrame:
     names = [f"c{i}" for i in range(text_column)] + ["text"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     rows = spark.read.csv(
@@ -74,7 +77,7 @@ def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bo
         enforceSchema=True,
         multiLine=multi_line,
         quote='"',
-        escape='"',
+        escape=escape,
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=CORRUPT,
         maxCharsPerColumn=-1,
@@ -91,7 +94,7 @@ def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bo
     )
 
 
-def _read_zip(spark: SparkSession, path: str, text_column: int) -> DataFrame:
+def _read_zip(spark: SparkSession, path: str, text_column: int, escape: str) -> DataFrame:
     """First entry of every archive; an archive is one task's work and streams through it."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +104,7 @@ def _read_zip(spark: SparkSession, path: str, text_column: int) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     entry = archive.namelist()[0]
                     with io.TextIOWrapper(archive.open(entry), encoding="utf-8", newline="") as lines:
-                        records = csv.reader(lines)
+                        records = csv.reader(lines, doublequote=escape == '"', escapechar=None if escape == '"' else escape)
                         next(records, None)
                         texts: list[str] = []
                         for record in records:

@@ -14,14 +14,17 @@ MIN_LENGTH = 15
 def read_abstracts(spark: SparkSession, path: str, longer_than: int = MIN_LENGTH) -> DataFrame:
     """``(title, desc)`` from a dump of ``<doc>`` records with title and abstract lines.
 
-    Text between tags is kept as it stands, entities included. The file is cut
+    Every abstract line gives a row, with the last title line before it in its
+    record (an empty title if there is none). Text between tags is kept as it stands, entities included. The file is cut
     at ``</doc>``, so a large dump is read by many tasks.
     """
     records = spark.read.option("lineSep", "</doc>").text(path)
-    # The last title before the abstract counts; a tag must start its line.
-    title = F.regexp_extract("value", r"(?s)^.*(?:^|\n)(<title>[^\r\n]*).*?\n<abstract>", 1)
-    abstract = F.regexp_extract("value", r"(?:^|\n)(<abstract>[^\r\n]*)", 1)
-    found = records.select(title.alias("title"), abstract.alias("desc")).filter(F.col("desc") != "")
+    # A tag must start its line.
+    lines = F.regexp_extract_all("value", F.lit(r"(?m)^<(?:title|abstract)>[^\r\n]*"), F.lit(0))
+    pairs = records.select(lines.alias("lines")).select("lines", F.posexplode("lines").alias("at", "desc"))
+    before = F.filter(F.slice("lines", F.lit(1), F.col("at")), lambda line: line.startswith("<title>"))
+    title = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))
+    found = pairs.where(F.col("desc").startswith("<abstract>")).select(title.alias("title"), "desc")
     cleaned = found.select(clean_title("title").alias("title"), clean_abstract("desc").alias("desc"))
     return min_length(cleaned, "desc", longer_than)
 
@@ -41,6 +44,8 @@ def read_xml_abstracts(spark: SparkSession, path: str, longer_than: int = MIN_LE
 def page_fields(pages: DataFrame) -> DataFrame:
     """``(page_id, title, desc)`` from raw HTML: the title element and the text of the page."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    body = F.regexp_replace("html", r"(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>", " ")
+    body = F.col("html")
+    for element in ("script", "style", "head"):  # one after the other: none ends another, and <header> is none of them
+        body = F.regexp_replace(body, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", " ")
     desc = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"\s+", " "))
     return pages.select("page_id", title.alias("title"), desc.alias("desc"))
