@@ -102,6 +102,13 @@ ORACLE: dict[str, str] = {
         count(*) AS copies FROM documents GROUP BY text""",
     "abstracts_roundtrip": _with(PAGES)
     + """ SELECT replace(title, 'Wikipedia: ', '') AS title, "desc", count(*) AS copies
+        FROM (SELECT title, "desc" FROM pg
+              UNION ALL SELECT 'more of ' || title, 'again ' || "desc" FROM pg WHERE page_id % 2 = 0)
+        WHERE length("desc") > 15 GROUP BY 1, 2""",
+    "csv_numbered": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, md5(text) AS text_md5,
+        CAST(length(text) AS BIGINT) AS n_chars FROM documents""",
+    "xml_abstracts": _with(PAGES)
+    + """ SELECT trim(replace(title, 'Wikipedia: ', '')) AS title, "desc", count(*) AS copies
         FROM pg WHERE length("desc") > 15 GROUP BY 1, 2""",
     "extract_title_desc": _with(PAGES) + ' SELECT page_id, title, "desc" FROM pg',
     "strip_title": """SELECT page_id, replace(replace(replace(

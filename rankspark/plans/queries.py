@@ -21,9 +21,9 @@ from ..operators import postings as P
 from ..operators import search as S
 from ..operators.batch import search_batch
 from ..operators.scale import scratch_dir, spread, take_first, with_positions
-from ..sources.delimited import read_csv_corpus
+from ..sources.delimited import read_csv_corpus, read_numbered_csv_corpus
 from ..sources.points import points_from_vectors
-from ..sources.tagged import page_fields, read_abstracts
+from ..sources.tagged import page_fields, read_abstracts, read_xml_abstracts
 from ..streaming.ingest import stream_into
 from .index import Index, file_fingerprint
 
@@ -102,16 +102,30 @@ def csv_roundtrip(spark, sf_dir):
 def abstracts_roundtrip(spark, sf_dir):
     path = f"{scratch_dir(spark)}/abstracts"
     fields = _pages(spark, sf_dir)
-    lines = fields.select(
-        F.concat(
-            F.lit("<doc>\n<title>Wikipedia: "), "title", F.lit("</title>\n<url>u</url>\n<abstract>"), "desc",
-            F.lit("</abstract>\n</doc>"),
-        ).alias("value")
-    )
-    lines.write.text(path)
+    pair = [F.lit("<title>Wikipedia: "), "title", F.lit("</title>\n<url>u</url>\n<abstract>"), "desc", F.lit("</abstract>\n")]
+    # Every other record has a second title and abstract.
+    second = F.concat(F.lit("<title>Wikipedia: more of "), "title", F.lit("</title>\n<abstract>again "), "desc", F.lit("</abstract>\n"))
+    more = F.when(F.col("page_id") % 2 == 0, second).otherwise("")
+    fields.select(F.concat(F.lit("<doc>\n"), *pair, more, F.lit("</doc>")).alias("value")).write.text(path)
     return read_abstracts(spark, path).groupBy("title", "desc").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def csv_numbered(spark, sf_dir):
+    """Ordinals follow the files' order; the files are written in the order of doc_id."""
+    path = f"{scratch_dir(spark)}/numbered"
+    rows = table(spark, sf_dir, "documents").orderBy("doc_id").select("source", "lang", "text")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, compression="gzip")
+    texts = read_numbered_csv_corpus(spark, path)
+    return texts.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+def xml_abstracts(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/xml"
+    fields = _pages(spark, sf_dir).select(F.concat(F.lit("Wikipedia: "), "title").alias("title"), F.col("desc").alias("abstract"))
+    fields.write.format("xml").option("rowTag", "doc").option("rootTag", "feed").save(path)
+    return read_xml_abstracts(spark, path).groupBy("title", "desc").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def extract_title_desc(spark, sf_dir):
     return _pages(spark, sf_dir)
 
@@ -429,7 +443,7 @@ def geo_topk(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_limit, csv_roundtrip, abstracts_roundtrip, extract_title_desc, strip_title, filter_min_length,
+        scan_limit, csv_roundtrip, csv_numbered, abstracts_roundtrip, xml_abstracts, extract_title_desc, strip_title, filter_min_length,
         assign_doc_ids, segment_offsets, tokenize, tokenize_stopwords, tokenize_standard, term_freq,
         multi_field_df, doc_length, length_quantized, collection_stats, doc_freq, idf, length_norm, impacts,
         posting_lists, term_dictionary, term_offsets, index_summary, impact_sample, merge_segments,
