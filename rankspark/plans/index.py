@@ -31,7 +31,7 @@ from ..functions.text import ANALYZERS, ENGLISH_STOP_WORDS
 from ..operators import dictionary as D
 from ..operators import postings as P
 from ..operators import search as S
-from ..operators.batch import search_batch
+from ..operators.batch import search_chunks
 
 DEFAULT_FIELD = "body"
 #: Segment numbers that a stream has to itself.
@@ -366,7 +366,7 @@ class Index:
             return S.search_impacts(self.impacts(field, snapshot, vocabulary), queries, k, accept)
         collection = self.collection(field).with_options(**options)
         if queries.literal is None:
-            return search_batch(collection, queries, k, accept)
+            return search_chunks(collection, queries, k, accept)
         return S.search(collection, queries, k, accept)
 
     # ---- snapshots ------------------------------------------------------

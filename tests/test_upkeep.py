@@ -142,6 +142,18 @@ def test_a_task_hands_on_the_best_k_of_all_its_blocks(spark, corpus, monkeypatch
     assert found.groupBy("query_id", F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 2
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_queries_too_many_to_broadcast_are_taken_in_chunks(spark, corpus, monkeypatch, blocks):
+    rows = [(q, t) for q in range(40) for t in (["common", "alpha"] if q % 2 else ["rare", "beta", "nosuch"])] + [(99, f"word{i}") for i in range(60)]
+    table = spark.createDataFrame(rows, "query_id long, term string")
+    collection = S.Collection.from_documents(corpus, "simple")
+    want = sorted(S.search(collection, S.any_of(spark, table), 3).select("query_id", "rank", "doc_id").collect())
+    monkeypatch.setattr(S, "measured_small", lambda frame: frame.count() <= 30)
+    monkeypatch.setattr(batch, "CHUNK_ROWS", 10)
+    found = batch.search_chunks(collection, S.any_of(spark, table), 3, vectorize_from=0 if blocks else 10**12)
+    assert sorted(found.select("query_id", "rank", "doc_id").collect()) == want
+
+
 def test_every_abstract_of_a_record(spark, tmp_path):
     text = (
         "<doc>\n<title>Wikipedia: T1</title>\n<abstract>the first long abstract</abstract>\n<title>Wikipedia: T2</title>\n"
