@@ -134,7 +134,6 @@ def test_values_are_replaced_within_their_format(spark):
         assert (got[i].text == text) == (n == 0)
         if i not in (1, 3, 10, 12):
             assert shape(got[i].text) == shape(text)
-    one, spaced, dashed = re.findall(r"\d[\d -]{14,}\d(?=\D|$)", got[5].text.replace("$$$ ", "|").replace(" 4", "|4", 1))[:1] + [None, None]
     cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}", got[5].text)
     assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and luhn(re.sub(r"\D", "", cards[0])) and cards[0][0] == "4"
     assert len(set(got[7].text.split())) == 1
