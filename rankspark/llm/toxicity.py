@@ -33,7 +33,7 @@ EPOCHS = 30
 RATE = 0.5
 L2 = 1e-6
 SPAN_MARGINAL = 0.5
-CACHE = 1_000_000
+CACHE = 250_000
 # ------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
