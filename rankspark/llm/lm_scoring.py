@@ -12,15 +12,16 @@ count that at most ``HEAD_WORDS`` words reach are sent to all tasks. Every
 token pair then travels once, packed with its neighbours, to the task that
 counts this pair: by both tokens if the first is a sent word, so that no word
 makes a hot task, else by the first token, which makes its count known there as
-well. Tokens outside the sent words also travel alone, to be counted exactly for
-the base score. In the mixture the words outside share one unigram class, which
-also has a place for words never seen.
+well. Pairs whose second token is not a sent word travel on, with what is known
+of them by then, to the task that counts this token. So every count is exact,
+and which words are sent changes the work but no score.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,6 @@ def _head(words: DataFrame, head_words: int) -> dict:
     head = sorted(zip(*(found.column(k).to_pylist() for k in ("c", "word", "deleted"))), reverse=True)  # at most head_words
     c = np.array([h[0] for h in head], np.float64)
     total, types, deleted = (sum(b[k] for b in bins) for k in (2, 1, 3))
-    rest, rest_types = total - c.sum(), types - len(head)
     return {
         "words": [h[1] for h in head],
         "c": c,
@@ -110,12 +110,18 @@ def _head(words: DataFrame, head_words: int) -> dict:
         "N": int(total),
         "V": int(types),
         "N_deleted": int(deleted),
-        "rest": rest / max(total, 1) / (rest_types + 1),
     }
 
 
+def _dealt(group: np.ndarray):
+    """Every group there is, with the places of its members in order."""
+    order = np.argsort(group, kind="stable")
+    own, cuts = np.unique(group[order], return_index=True)
+    return zip(own.tolist(), np.split(order, cuts[1:]))
+
+
 def _spread(rows: DataFrame, shared, groups: int) -> DataFrame:
-    """Rows ``(p, kind, chunk, data)``: token pairs (kind 0), lone rarer tokens (1) and what is known of each text (2)."""
+    """Rows ``(p, kind, chunk, data)``: token pairs (kind 0) and what is known of each text (2)."""
 
     def run(batches):
         head = shared.value
@@ -125,34 +131,24 @@ def _spread(rows: DataFrame, shared, groups: int) -> DataFrame:
             words, ids, lengths = _numbered(texts)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
             place = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-            codes = np.where(place >= 0, place, n_head + (hashes % np.uint64((1 << 32) - n_head)).astype(np.int64))
-            code, common = codes[ids], place[ids] >= 0
-            text_of = np.repeat(np.arange(len(texts)), lengths)
+            codes = np.where(place >= 0, place, n_head + (hashes % np.uint64((1 << 32) - n_head)).astype(np.int64)).astype(np.uint32)
+            code, common, hashed = codes[ids], place[ids] >= 0, hashes[ids]
+            text_of = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
             role = batch.column("role").to_numpy(zero_copy_only=False).astype(np.uint8)
             chunk = batch.column("row")[0].as_py()
             starts = np.cumsum(lengths) - lengths
-            before = np.empty_like(code)
-            before[1:] = code[:-1]
-            before[starts] = codes[words.index(END)]  # a text begins after an end
-            mixed = np.where(before < n_head, before * 0x9E3779B1 + code * 0x85EBCA77, before * 0x9E3779B1)
+            before, mixed = np.empty_like(code), np.empty_like(hashed)
+            before[1:], mixed[1:] = code[:-1], hashed[:-1]
+            end = words.index(END)  # a text begins after an end
+            before[starts], mixed[starts] = codes[end], hashes[end]
+            # All 64 bits choose the task, so codes of 32 bits need to differ within a task only.
+            mixed = np.where(before < n_head, mixed * np.uint64(0xD6E8FEB86659FD93) + hashed, mixed)
+            group = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
             out = []
-
-            def deal(kind, group, of, *values):
-                order = np.argsort(group, kind="stable")
-                cuts = np.searchsorted(group[order], np.arange(groups + 1))
-                for g in range(groups):
-                    at = order[cuts[g] : cuts[g + 1]]
-                    if len(at):
-                        own, n = np.unique(of[at], return_counts=True)
-                        data = _pack(own.astype(np.uint32), n.astype(np.uint32), role[own], *[v[at] for v in values])
-                        out.append((g, kind, chunk, data))
-
-            scrambled = (mixed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            deal(0, (scrambled % np.uint64(groups)).astype(np.uint16 if groups < 65536 else np.int32), text_of, before.astype(np.uint32), code.astype(np.uint32))
-            rare = np.nonzero(~common)[0]
-            if len(rare):
-                found = hashes[ids[rare]]
-                deal(1, ((found >> np.uint64(20)) % np.uint64(groups)).astype(np.int32), text_of[rare], found)
+            for g, at in _dealt(group.astype(np.uint16 if groups < 65536 else np.int32)):
+                own, n = np.unique(text_of[at], return_counts=True)
+                data = _pack(own, n.astype(np.uint32), role[own], before[at], code[at], hashed[at[~common[at]]])
+                out.append((g, 0, chunk, data))
             base = np.add.reduceat(np.where(common, log_c[np.where(common, code, 0)] if n_head else 0.0, 0.0), starts)
             known = np.add.reduceat(common.astype(np.int64), starts)
             doc_ids = pickle.dumps(batch.column("doc_id").to_pylist())
@@ -173,9 +169,30 @@ def _bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(c + 1)), CONTEXT_BUCKETS - 1).astype(np.int64)
 
 
-def _count_pairs(spread: DataFrame, shared) -> DataFrame:
-    """``(kind, chunk, data, bins, counts)``: for each text's tokens the pair's count, context and token (kind 0),
-    sums for rarer tokens (1), texts as before (2), and binned counts of the deleted part (3)."""
+COUNTED = "p int, kind int, chunk long, data binary, bins array<long>, counts array<long>"
+
+
+def _counted_rows(rows) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["p", "kind", "chunk", "data", "bins", "counts"])
+
+
+def _binned(first: np.ndarray, both: np.ndarray, uni: np.ndarray) -> tuple:
+    """A row of kind 3 from deleted tokens: the counts of the rest, binned."""
+    bins, counts = np.unique((_bucket(first) * LEVELS + _bin(both / np.maximum(first, 1))) * LEVELS + _bin(uni), return_counts=True)
+    return None, 3, 0, None, bins.tolist(), counts.tolist()
+
+
+def _first(head: dict, before: np.ndarray) -> np.ndarray:
+    """The context's count, from what ``_count_pairs`` writes for it."""
+    n_head = len(head["c"])
+    return np.where(before < n_head, np.append(head["c"], 0.0)[np.minimum(before, n_head)], before.astype(np.float64) - n_head)
+
+
+def _count_pairs(spread: DataFrame, shared, groups: int) -> DataFrame:
+    """``COUNTED`` rows: for each text's sent tokens the pair's count, context and token (kind 0), all that is known of
+    pairs with other tokens, dealt by the token (1), texts as before (2), and binned counts of the deleted part (3)."""
 
     def pairs(rows, head):
         n_head = len(head["c"])
@@ -183,65 +200,80 @@ def _count_pairs(spread: DataFrame, shared) -> DataFrame:
         before, code = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
         role = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
         train, part = role != TEST, role == PART
-        deleted = np.nonzero(part)[0]
         _, at = np.unique(before.astype(np.uint64) << np.uint64(32) | code, return_inverse=True)
         both = np.bincount(at, train)[at].astype(np.uint32)
-        left = both[deleted] - np.bincount(at, part)[at[deleted]]
+        left = (both - np.bincount(at, part)[at]).astype(np.uint32)
         del at
         # A context outside the sent words is counted here, and stands for itself by its count.
         rare = np.nonzero(before >= n_head)[0]
-        first_deleted = head["deleted"][np.minimum(before[deleted], n_head - 1)] if n_head else np.zeros(len(deleted))
+        part_of = np.append(head["deleted"], 0.0)[np.minimum(before, n_head)]
         if len(rare):
             _, own = np.unique(before[rare], return_inverse=True)
-            part_of = np.zeros(len(before), np.uint32)
             part_of[rare] = np.bincount(own, part[rare])[own]
             before[rare] = n_head + np.bincount(own, train[rare])[own].astype(np.uint32)
-            first_deleted = np.where(before[deleted] >= n_head, part_of[deleted], first_deleted)
-            del own, part_of
-        code = np.minimum(code, np.uint32(n_head))
-        first, single = _known(head, before[deleted], code[deleted])
-        first = first - first_deleted
-        c_deleted = np.append(head["deleted"], 0.0)[code[deleted]]
-        uni = np.where(code[deleted] < n_head, (single * head["N"] - c_deleted) / max(head["N"] - head["N_deleted"], 1), single)
-        bins, counts = np.unique((_bucket(first) * LEVELS + _bin(left / np.maximum(first, 1))) * LEVELS + _bin(uni), return_counts=True)
+            del own
+        first_left = _first(head, before) - part_of
+        common = code < n_head
+        deleted = np.nonzero(part & common)[0]
+        c_left = (head["c"] - head["deleted"])[code[deleted]] if n_head else np.zeros(0)
+        yield _binned(first_left[deleted], left[deleted], c_left / max(head["N"] - head["N_deleted"], 1))
+
+        texts = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         low = 0
         for (chunk, _), p in zip(rows, parts):
             high = low + len(p[3])
-            yield 0, chunk, _pack(p[0], p[1], both[low:high], before[low:high], code[low:high]), None, None
+            sent = low + np.nonzero(common[low:high])[0]
+            if len(sent):
+                own, n = np.unique(texts[sent], return_counts=True)
+                yield None, 0, chunk, _pack(own, n.astype(np.uint32), both[sent], before[sent], code[sent]), None, None
             low = high
-        yield 3, 0, None, bins.tolist(), counts.tolist()
-
-    def lone(rows):
-        parts = [_unpack(r[1]) for r in rows]
-        role = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-        _, at = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
-        c = np.bincount(at, role != TEST)[at]
-        low = 0
-        for (chunk, _), p in zip(rows, parts):
-            own = c[low : low + len(p[3])]
-            low += len(p[3])
-            starts = np.cumsum(p[1].astype(np.int64)) - p[1]
-            yield 1, chunk, _pack(p[0], np.add.reduceat(np.log10(own + 0.5), starts), np.add.reduceat((own > 0).astype(np.int64), starts)), None, None
+        others = np.nonzero(~common)[0]
+        if len(others):
+            hashed = np.concatenate([p[5] for p in parts])
+            chunk_of = np.concatenate([np.full(len(p[3]), chunk, np.int64) for (chunk, _), p in zip(rows, parts)])[others]
+            known = [chunk_of, texts[others], role[others], hashed, both[others], before[others], left[others], first_left[others]]
+            for g, own in _dealt(((hashed >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)):
+                yield g, 1, 0, _pack(*[v[own] for v in known]), None, None
 
     def run(batches):
-        groups: dict[tuple[int, int], list] = {}
+        by_task: dict[int, list] = {}
         for batch in batches:
             for p, kind, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "chunk", "data"))):
-                groups.setdefault((p, kind), []).append((chunk, data))
-        for (_, kind), rows in groups.items():
-            made = pairs(rows, shared.value) if kind == 0 else lone(rows) if kind == 1 else ((2, c, d, None, None) for c, d in rows)
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            for row in made:
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["kind", "chunk", "data", "bins", "counts"])
+                if kind == 0:
+                    by_task.setdefault(p, []).append((chunk, data))
+                else:
+                    yield from _counted_rows([(None, kind, chunk, data, None, None)])
+        for rows in by_task.values():
+            yield from _counted_rows(pairs(rows, shared.value))
 
-    return map_batches(spread, "kind int, chunk long, data binary, bins array<long>, counts array<long>", run)
+    return map_batches(spread, COUNTED, run)
 
 
-def _known(head: dict, before: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context's count and the token's unigram estimate, from what ``_count_pairs`` writes for them."""
-    n_head = len(head["c"])
-    first = np.where(before < n_head, np.append(head["c"], 0.0)[np.minimum(before, n_head)], before.astype(np.float64) - n_head)
-    return first, np.append(head["c"] / max(head["N"], 1), head["rest"])[code]
+def _count_others(dealt: DataFrame, shared) -> DataFrame:
+    """``COUNTED`` rows from those of kind 1: by text the pair's count, context and the token's own count (1), and bins (3)."""
+
+    def counted(data, head):
+        chunk, text, role, hashed, both, before, left, first_left = (np.concatenate(c) for c in zip(*map(_unpack, data)))
+        part = role == PART
+        _, at = np.unique(hashed, return_inverse=True)
+        c = np.bincount(at, role != TEST)[at]
+        c_left = (c - np.bincount(at, part)[at])[part]
+        yield _binned(first_left[part], left[part], c_left / max(head["N"] - head["N_deleted"], 1))
+        c = c.astype(np.uint32)
+        for of, places in _dealt(chunk):
+            places = places[np.argsort(text[places], kind="stable")]
+            own, n = np.unique(text[places], return_counts=True)
+            yield None, 1, of, _pack(own, n.astype(np.uint32), both[places], before[places], c[places]), None, None
+
+    def run(batches):
+        by_task: dict[int, list] = {}
+        for batch in batches:
+            for p, data in zip(batch.column("p").to_pylist(), batch.column("data").to_pylist()):
+                by_task.setdefault(p, []).append(data)
+        for data in by_task.values():
+            yield from _counted_rows(counted(data, shared.value))
+
+    return map_batches(dealt, COUNTED, run)
 
 
 def learn_weights(bins: np.ndarray, counts: np.ndarray, uniform: float) -> np.ndarray:
@@ -275,12 +307,17 @@ def _scores(counted: DataFrame, weights: np.ndarray, shared) -> DataFrame:
         uniform = 1.0 / (head["V"] + 1)
         for batch in batches:
             kinds, data = batch.column("kind").to_pylist(), batch.column("data").to_pylist()
-            for k in (k for k, kind in enumerate(kinds) if kind == 0):
-                own, counts, both, before, code = _unpack(data[k])
-                first, uni = _known(head, before, code)
+            for k in (k for k, kind in enumerate(kinds) if kind < 2):
+                own, counts, both, before, token = _unpack(data[k])
+                first = _first(head, before)
+                c = token.astype(np.float64) if kinds[k] else head["c"][token]
                 w = weights[_bucket(first)]
-                p = w[:, 0] * both / np.maximum(first, 1) + w[:, 1] * uni + w[:, 2] * uniform
-                data[k] = _pack(own, np.add.reduceat(np.log10(p), np.cumsum(counts.astype(np.int64)) - counts))
+                p = w[:, 0] * both / np.maximum(first, 1) + w[:, 1] * c / max(head["N"], 1) + w[:, 2] * uniform
+                starts = np.cumsum(counts.astype(np.int64)) - counts
+                sums = [np.add.reduceat(np.log10(p), starts)]
+                if kinds[k]:
+                    sums += [np.add.reduceat(np.log10(c + 0.5), starts), np.add.reduceat((c > 0).astype(np.int64), starts)]
+                data[k] = _pack(own, *sums)
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("kind"), pa.array(data, pa.binary())], ["chunk", "kind", "data"])
 
     def run(table: pa.Table) -> pa.Table:
@@ -293,8 +330,9 @@ def _scores(counted: DataFrame, weights: np.ndarray, shared) -> DataFrame:
                 own, logs = _unpack(packed)
                 score[own] += logs
             elif kind == 1:
-                own, logs, seen = _unpack(packed)
-                base[own] += logs
+                own, logs, base_logs, seen = _unpack(packed)
+                score[own] += logs
+                base[own] += base_logs
                 known[own] += seen
         base = base - lengths * math.log10(head["N"] + 0.5 * (head["V"] + 1))
         columns = {
@@ -330,7 +368,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     shared = spark.sparkContext.broadcast(head)
     groups = max(partitions(spark), math.ceil(head["N"] / TASK_TOKENS))
     spread = _spread(rows.withColumn("row", F.monotonically_increasing_id()), shared, groups)
-    counted = saved(_count_pairs(spread.repartitionById(groups, F.col("p")), shared), "pairs")
+    counted = saved(_count_pairs(spread.repartitionById(groups, F.col("p")), shared, groups), "pairs")
+    dealt = counted.where("kind = 1").select("p", "data").repartitionById(groups, F.col("p"))
+    counted = counted.where("kind <> 1").union(saved(_count_others(dealt, shared), "others"))
     learned = counted.where("kind = 3").select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts").alias("n"))
     bins = learned.collect()  # at most CONTEXT_BUCKETS * LEVELS ** 2, in fact some ten thousand
     weights = learn_weights(np.array([b[0] for b in bins], np.int64), np.array([b[1] for b in bins], np.float64), 1.0 / (head["V"] + 1))

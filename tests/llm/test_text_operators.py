@@ -139,8 +139,9 @@ def test_scores_against_plain_counts(spark, sf_dir):
         (d if d is not None else -1, held(d), len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         for d, t in tokens
     )
-    # With all words sent, and with so few that most travel alone: the same counts.
-    for head_words in (1 << 18, 5):
+    # With all words sent, with so few that most travel on, and with none: the same counts and scores.
+    scores = {}
+    for head_words in (1 << 18, 5, 0):
         got = L.lm_scores(docs, head_words=head_words).collect()
         own = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got)
         assert [o[:5] for o in own] == [b[:5] for b in base]
@@ -148,6 +149,8 @@ def test_scores_against_plain_counts(spark, sf_dir):
         better = [r for r in got if r.held_out]
         assert sum(r.score for r in better) > sum(r.base_score for r in better)
         assert all(r.score <= 0 for r in got)
+        scores[head_words] = sorted(r.score for r in got)
+    assert scores[5] == pytest.approx(scores[1 << 18]) and scores[0] == pytest.approx(scores[1 << 18])
     assert L.lm_scores(docs.limit(0)).collect() == []
 
 
