@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.llm import decontamination, mixing, pii, simhash_dedup, toxicity
-from rankspark.llm.common import saved, table
+from rankspark.llm.common import fresh, quoted, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity tagger rejects go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, score_col="_toxic_score", spans_col="_toxic_spans")
-    return scored.where(F.col("_toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score, spans = fresh(docs, "_toxic_score"), fresh(docs, "_toxic_spans")
+    scored = toxicity.score(docs, model, score_col=score, spans_col=spans)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*quoted(docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), hits_col="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = fresh(docs, "_leaks")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), hits_col=leaks)
+    return found.where(F.size(leaks) == 0).select(*quoted(docs.columns))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers and dates become pseudonyms; n_chars follows the text."""
-    return pii.pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*quoted(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.scale import scratch_dir
 
@@ -104,8 +105,35 @@ def simhash(words: list[bytes], k: int) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
 
 
-def map_batches(df: DataFrame, schema: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    return df.mapInArrow(function, schema)
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are, dots and all."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_fields(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of ``df`` and further columns, given as name and type."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
+    return T.StructType(fields + [T.StructField(name, T._parse_datatype_string(kind), True) for name, kind in more.items()])
+
+
+def map_batches(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    names = df.columns
+    if not any(set(".`") & set(name) for name in names):
+        return df.mapInArrow(function, schema)
+
+    # mapInArrow takes no names with dots: columns travel under their numbers.
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(pa.RecordBatch.from_arrays(batch.columns, names) for batch in batches)
+
+    return df.toDF(*map(str, range(len(names)))).mapInArrow(named, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

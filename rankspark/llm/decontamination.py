@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, bit_sums, hash64, map_batches, shingles
+from .common import batch_bytes, bit_sums, fresh, hash64, map_batches, shingles, with_fields
 
 # ---- parameters --------------------------------------------------------------
 SHINGLE_WORDS = 5
@@ -144,12 +144,11 @@ def contaminated(
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     passes = max(1, math.ceil(2 * size / pass_bytes)) if size > pass_bytes else 1
     context = docs.sparkSession.sparkContext
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     found = []
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         sent = context.broadcast(sorted(((r["item_id"], r["text"].encode()) for r in own.collect()), key=repr))
-        name = f"{hits_col}_{k}" if passes > 1 else hits_col
+        name = fresh(docs, f"{hits_col}_{k}") if passes > 1 else hits_col
 
         def run(batches, sent=sent, name=name):
             index = Items(sent.value)
@@ -162,8 +161,7 @@ def contaminated(
                 )
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, name])
 
-        docs = map_batches(docs, f"{schema}, `{name}` array<{HIT}>", run)
-        schema += f", `{name}` array<{HIT}>"
+        docs = map_batches(docs, with_fields(docs, **{name: f"array<{HIT}>"}), run)
         found.append(name)
     if passes > 1:
         docs = docs.withColumn(hits_col, F.concat(*found)).drop(*found)

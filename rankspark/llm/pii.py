@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # ---- fixed values: what is looked for ----------------------------------------
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"
@@ -200,7 +202,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text", count
     their length; repeated rows stay. Candidates that fail validation, such as a
     number with a wrong check digit or 2024-02-30, are left alone.
     """
-    found, made = "_pii_found", "_pii_made"
+    found, made = fresh(docs, "_pii_found"), fresh(docs, "_pii_made")
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.withColumn(found, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     rows = rows.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import broadcast_if_small
-from .common import batch_bytes, components, map_batches, saved, simhash
+from .common import batch_bytes, components, fresh, map_batches, saved, simhash
 
 #: Buckets of more distinct fingerprints are linked through shared neighbours instead of pairs.
 PAIRED_BUCKET = 32
@@ -132,12 +132,13 @@ def drop_near_duplicates(
     first = texts.groupBy("root").agg(F.min("row").alias("first"))
     goes = texts.join(first, "root").where(F.col("row") != F.col("first")).select("row.*")
     texts = texts.select("row.*", "rows")
-    hashed = docs.withColumn("_simhash_text", F.xxhash64(docs[text_col].cast("string")))
-    of, there = F.col("gone_id"), F.col("gone_hash")
-    gone = broadcast_if_small(goes.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")))
-    kept = hashed.join(gone, hashed[id_col].cast("long").eqNullSafe(of) & (hashed["_simhash_text"] == there), "left_anti")
-    again = texts.where("rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    own_hash, gone_id, gone_hash = (fresh(docs, name) for name in ("_simhash_text", "gone_id", "gone_hash"))
+    hashed = docs.withColumn(own_hash, F.xxhash64(docs[text_col].cast("string")))
+    of, there = F.col(gone_id), F.col(gone_hash)
+    gone = broadcast_if_small(goes.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)))
+    kept = hashed.join(gone, hashed[id_col].cast("long").eqNullSafe(of) & (hashed[own_hash] == there), "left_anti")
+    again = texts.where("rows > 1").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash))
     again = broadcast_if_small(saved(again.distinct(), "again"))
-    same = kept[id_col].cast("long").eqNullSafe(of) & (kept["_simhash_text"] == there)
-    once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "_simhash_text"])
-    return kept.join(again, same, "left_anti").union(once).drop("_simhash_text")
+    same = kept[id_col].cast("long").eqNullSafe(of) & (kept[own_hash] == there)
+    once = kept.join(again, same, "left_semi").dropDuplicates([id_col, own_hash])
+    return kept.join(again, same, "left_anti").union(once).drop(own_hash)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, remainder, shingles
+from .common import chunks, map_batches, remainder, shingles, with_fields
 
 # ---- parameters --------------------------------------------------------------
 #: The classifier is fitted on at most so many labelled rows of either class.
@@ -299,8 +299,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, score_col, spans_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, f"{schema}, `{score_col}` double, `{spans_col}` array<struct<start:int,end:int>>", run)
+    return map_batches(docs, with_fields(docs, **{score_col: "double", spans_col: "array<struct<start:int,end:int>>"}), run)
 
 
 def _spans(text: bytes, p: np.ndarray) -> list[dict]:

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankspark.llm import mixing, pii, simhash_dedup, toxicity
@@ -57,6 +58,21 @@ def test_stages_on_odd_rows(spark, sf_dir):
         assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()} == ({1, 2} if given else set())
 
 
+def test_stages_keep_columns_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["gone_id", "gone_hash", "_simhash_text", "_leaks", "_Toxic_score", "_toxic_spans", "_pii_found", "_pii_made", "row", "root", "hits", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{name} "), "doc_id").alias(name) for name in names])
+    wide = wide.withColumn("nested", F.struct(F.col("doc_id").alias("odd name:x"), F.array("lang").alias("l")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert len(rows) > 30
+        assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+        assert all(r.nested["odd name:x"] == r.doc_id and r.nested.l == [r.lang] for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir).count() == 60
+
+
 def normal(frame):
     frame = frame[sorted(frame.columns)]
     return sorted(map(repr, frame.astype(object).itertuples(index=False, name=None)))
