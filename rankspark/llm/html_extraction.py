@@ -6,9 +6,11 @@ bidirectional LSTM in numpy reads the whole sequence, so every block is judged
 with the page before and after it, and labels it as main text or not.
 
 No page comes with labels. The labeller is fitted on a bounded sample of the
-given pages, labelled by their own containers (article, nav, footer, …), and on
-re-laid pages: the sample's texts set anew into other common layouts, with the
-containers that menus, notices, adverts, forms and comments use elsewhere.
+given pages of any length, labelled by their own containers (article, nav,
+footer, …), and on re-laid pages: the sample's texts set anew into other common
+layouts, with the containers that menus, notices, adverts, forms and comments
+use elsewhere. Tasks turn sampled pages into ranges of blocks, so that what the
+driver holds does not grow with the pages.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import chunks, map_batches
 
 # ---- parameters --------------------------------------------------------------
-#: The labeller is fitted on at most so many pages of at most so many characters; every page is labelled whole.
+#: The labeller is fitted on at most so many pages, and in all on about as many ranges of neighbouring blocks; every page is labelled whole.
 MAX_PAGES = 240
-MAX_TRAIN_CHARS = 30_000
 LAYOUTS_PER_PAGE = 5
-MAX_TRAIN_BLOCKS = 120
+RANGE_BLOCKS = 120
+#: A longer text is set into re-laid pages by its first characters; where it stands itself it counts whole.
+EXCERPT_CHARS = 2_000
 HIDDEN = 20
 EPOCHS = 5
 BATCH = 24
@@ -70,6 +74,22 @@ TAGS_OF = {
     "notice": ("div", "section", "dialog", "aside"), "advert": ("div", "aside", "section", "ins"), "form": ("form", "div"),
     "comments": ("section", "div", "ol", "ul"),
 }
+#: Set into layouts where no sampled page has text of its own.
+SPARE_FILLERS = ["Home", "About us"]
+SPARE_TEXTS = (
+    "A new bridge across the river was opened on Monday.",
+    "The council had argued over its cost for nearly ten years, and many had given up hope.",
+    "Most of the work was done by night so that trains could run during the day.",
+    "What comes next?",
+    "People who live nearby say that the noise was hard to bear, but that they are glad of the shorter way to town.",
+    "The first walkers crossed it in light rain.",
+    "Engineers will measure how the wind moves it until the end of the winter.",
+    "It carries two lanes, a path for bicycles and a wide footway on the southern side.",
+    "An earlier crossing stood at the same place until a flood took it away.",
+    "A short history of the crossing",
+    "Those who wish to see the plans can do so at the library, where they are shown for the rest of the month.",
+    "Repairs to the road on the other bank are to follow in spring.",
+)
 # ------------------------------------------------------------------------------
 
 MARK = "\ue000"  # a private character in front of main blocks of re-laid pages
@@ -372,34 +392,79 @@ def relaid(rng: random.Random, main: list[str], rest: list[str]) -> str:
     return f"<html><head><title>{text(main[0] if main else '')}</title></head><body>{before}{inside}{after}</body></html>"
 
 
-def fit(pages: list[str]) -> dict | None:
-    """The labeller from a sample of pages; None if no page has text."""
+def ranges(found: list, most: int, seed: int) -> list[list]:
+    """At most ``most`` equal ranges of a page's blocks; its begin, its end and one between come first, in any order."""
+    n = -(-len(found) // RANGE_BLOCKS)
+    cuts = [len(found) * k // n for k in range(n + 1)] if n else [0]
+    rng = random.Random(seed)
+    inner = rng.sample(range(1, n - 1), min(most, n - 2)) if n > 2 else []
+    ends = [*range(n)][:1] + [*range(n)][1:][-1:] + inner[:1]
+    rng.shuffle(ends)
+    return [found[cuts[k] : cuts[k + 1]] for k in (ends + inner[1:])[:most]]
+
+
+def _excerpt(text: str) -> str:
+    return text if len(text) <= EXCERPT_CHARS else text[:EXCERPT_CHARS].rsplit(" ", 1)[0]
+
+
+def examples(page: str, most: int, cache: dict) -> list[tuple]:
+    """``(seed, range, vectors, labels, main texts, other texts)`` of a page's ranges, small enough for the driver.
+
+    Vectors and labels are None where the page's containers leave a block of the range open.
+    """
+    found, seed = blocks(page), xxhash.xxh64_intdigest(page.encode("utf-8", "replace")) >> 1
+    out = []
+    for k, part in enumerate(ranges(found, most, seed)):
+        known = [own_label(path) for path, _, _ in part]
+        own = labels = None
+        if None not in known:
+            own, labels = zlib.compress(vectors(part, cache).tobytes(), 1), np.array(known, np.float32).tobytes()
+        main = [_excerpt(text) for (_, text, _), y in zip(part, known) if y != 0] or [_excerpt(part[0][1])]
+        rest = [_excerpt(text) for (_, text, _), y in zip(part, known) if y == 0]
+        out.append((seed, k, own, labels, main, rest))
+    return out
+
+
+def fit(sample: list[tuple]) -> dict:
+    """The labeller from ``examples``; without any, from re-laid pages of fixed texts."""
     rng, cache = random.Random(SEED), {}
     rows, labels = [], []
-    parsed = [found for found in map(blocks, pages) if found]
-    fillers = [text for found in parsed for path, text, _ in found if own_label(path) == 0] or ["Home", "About us"]
-    for found in parsed:
-        found = found[:MAX_TRAIN_BLOCKS]
-        known = [own_label(path) for path, _, _ in found]
-        if None not in known:
-            rows.append(vectors(found, cache))
-            labels.append(np.array(known, np.float32))
-        main = [text for (_, text, _), y in zip(found, known) if y != 0] or [found[0][1]]
+    sample = sample or [(0, 0, None, None, rng.choices(SPARE_TEXTS, k=12), []) for _ in range(MAX_PAGES // LAYOUTS_PER_PAGE)]
+    fillers = [text for *_, rest in sample for text in rest] or SPARE_FILLERS
+    for _, _, own, known, main, _ in sample:
+        if own is not None:
+            rows.append(np.frombuffer(zlib.decompress(own), np.float32).reshape(-1, PATH_SLOTS + WORD_SLOTS + LENGTHS))
+            labels.append(np.frombuffer(known, np.float32))
         for _ in range(LAYOUTS_PER_PAGE):
-            part = main[: rng.randint(1, 40)]
-            again = blocks(relaid(rng, part, rng.sample(fillers, min(len(fillers), 12))))[:MAX_TRAIN_BLOCKS]
+            start = rng.randrange(len(main)) if len(main) > 40 else 0
+            part = main[start : start + rng.randint(1, 40)]
+            again = blocks(relaid(rng, part, rng.sample(fillers, min(len(fillers), 12))))
             labels.append(np.array([t.startswith(MARK) for _, t, _ in again], np.float32))
             rows.append(vectors([(p, t.replace(MARK, "") or " ", n) for p, t, n in again], cache))
-    return fit_network(rows, labels) if rows else None
+    return fit_network(rows, labels)
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict | None:
-    """Fits on a bounded sample of pages drawn by a hash of the id."""
-    rows = pages.select(pages[id_col].alias("of"), F.length(pages[html_col]).alias("size")).where(F.col("size").between(1, MAX_TRAIN_CHARS))
+    """Fits on a bounded sample drawn by a hash of the id from all pages that are not empty; None if all are."""
+    rows = pages.select(pages[id_col].alias("of"), pages[html_col].cast("string").alias("html")).where("length(html) > 0")
     drawn = rows.select("of").distinct().orderBy(F.xxhash64(F.lit("sample"), "of"), "of").limit(MAX_PAGES)
-    texts = pages.select(pages[id_col].alias("of"), pages[html_col].cast("string").alias("html")).where(F.length("html") <= MAX_TRAIN_CHARS)
-    texts = texts.join(F.broadcast(drawn), "of").groupBy("of").agg(F.min("html").alias("html"))
-    return fit([r["html"] for r in sorted(texts.collect(), key=repr)])
+    chosen = drawn.collect()  # at most MAX_PAGES ids
+    if not chosen:
+        return None
+    most = MAX_PAGES // len(chosen)
+    own = pages.sparkSession.createDataFrame(chosen, drawn.schema).withColumnRenamed("of", "drawn")
+    texts = rows.join(F.broadcast(own), rows["of"].eqNullSafe(own["drawn"])).groupBy("of").agg(F.min("html").alias("html")).select("html")
+
+    def run(batches):
+        cache: dict = {}
+        for _, raw in chunks(batches, "html"):
+            found = [x for b in raw for x in examples(b.decode("utf-8", "replace"), most, cache)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "part", "own", "labels", "main", "rest"])
+
+    made = map_batches(texts, "seed long, part int, own binary, labels binary, main array<string>, rest array<string>", run)
+    return fit(sorted((tuple(r) for r in made.collect()), key=lambda r: r[:2]))
 
 
 def main_text(net: dict, pages: list[str], cache: dict) -> list[str]:

@@ -216,3 +216,32 @@ def test_main_text_of_pages(spark):
     assert texts[-2] == "A title & more First part of it. Second part."
     assert texts[-3] == " ".join(["word after word."] * 20_000)
     assert W.extract(pages.limit(0)).collect() == []
+
+
+def test_labeller_learns_from_long_pages(spark):
+    rng = random.Random(5)
+    words = "river bridge council night winter train library road wind measure".split()
+    sentence = lambda: " ".join(rng.choices(words, k=12)).capitalize() + "."
+
+    def page(n):
+        main = [sentence() for _ in range(n)]
+        body = "".join(f"<p>{m}</p>" for m in main)
+        return f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article><footer><p>Imprint and terms</p></footer></body></html>", " ".join(main)
+
+    made = [page(700) for _ in range(6)]
+    assert all(len(html) > 30_000 for html, _ in made)
+    rows = [(k, "u", html) for k, (html, _) in enumerate(made)] + [(None, "u", page(700)[0])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in W.extract(frame).collect()}
+    assert [texts[k] for k in range(6)] == [main for _, main in made] and texts[None]
+    found = W.blocks(made[0][0])
+    parts = W.ranges(found, 6, 1)
+    assert sorted(b for part in parts for b in part) == sorted(found)  # one page may fill the sample: nothing is left out
+    ends = [any(b[1] == "Imprint and terms" for part in W.ranges(found, 1, seed) for b in part) for seed in range(60)]
+    assert 8 < sum(ends) < 35 and W.ranges([], 3, 1) == [] and len(W.ranges(found[:240], 5, 1)) == 2
+
+
+def test_labeller_without_sampled_texts():
+    net = W.fit([])
+    page = "<body><nav><a>Home</a></nav><article><p>The first walkers came early in the day.</p><p>Rain fell until noon.</p></article><footer><p>© Us</p></footer></body>"
+    assert W.main_text(net, [page], {}) == ["The first walkers came early in the day. Rain fell until noon."]
