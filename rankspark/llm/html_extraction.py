@@ -42,7 +42,7 @@ BATCH = 24
 RATE = 0.01
 SEED = 7
 PATH_SLOTS, WORD_SLOTS, LENGTHS = 512, 64, 6
-PATH_ENDS = 8
+INNER_NAMES = 8
 CELLS = 20_000
 # ---- fixed values: element kinds and the names that layouts use ---------------
 BLOCKS = frozenset(
@@ -177,22 +177,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         names = [name]
         for kind, *values in NAMES.findall(tag[3]) if tag[3] else ():
-            names += [f"{'#' if kind.lower() == 'id' else '.'}{v}" for v in "".join(values).lower().split()[:6]]
+            names += [f"{'#' if kind.lower() == 'id' else '.'}{v}" for v in "".join(values).lower().split()]
         stack.append((name, tuple(names)))
     flush()
     return found
 
 
 def _path_names(path: tuple[str, ...]) -> list[str]:
-    """What the path says: its outer and inner elements, names also by their parts."""
-    ends = path if len(path) <= 2 * PATH_ENDS else path[:PATH_ENDS] + path[-PATH_ENDS:]
+    """What the path says: all its elements, names also by their parts, and the inner ones once more as such."""
     out = []
-    for x in ends:
+    for x in path:
         if x[0] in "#.":
             out += [f"n={x[1:]}", *(f"n={part}" for part in re.split(r"[-_\d]+", x[1:]) if part and part != x[1:])]
         else:
             out.append(f"t={x}")
-    return [*dict.fromkeys(out), f"last={path[-1] if path else ''}", f"tags={'/'.join(x for x in path[-6:] if x[0] not in '#.')}"]
+    inner = [f"in={x}" for x in path[-INNER_NAMES:]]
+    return [*dict.fromkeys(out + inner), f"last={path[-1] if path else ''}", f"tags={'/'.join(x for x in path[-6:] if x[0] not in '#.')}"]
 
 
 def _slot(text: str, slots: int) -> int:

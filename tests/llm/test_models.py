@@ -245,3 +245,25 @@ def test_labeller_without_sampled_texts():
     net = W.fit([])
     page = "<body><nav><a>Home</a></nav><article><p>The first walkers came early in the day.</p><p>Rain fell until noon.</p></article><footer><p>© Us</p></footer></body>"
     assert W.main_text(net, [page], {}) == ["The first walkers came early in the day. Rain fell until noon."]
+
+
+def test_container_in_the_middle_of_a_deep_path(spark):
+    def deep(inner, n):
+        return "".join(f'<div id="l{k}" class="a b c d e f g{k}">' for k in range(n)) + inner + "</div>" * n
+
+    def page(k):
+        words = [f"Word {k} and {j} went by the river." for j in range(4)]
+        article = "<article>" + deep("".join(f"<p>{w}</p>" for w in words), 8) + "</article>"
+        aside = '<section class="sidebar">' + deep("".join(f"<p>See {w}</p>" for w in words), 8) + "</section>"
+        order = (article, aside) if k % 2 else (aside, article)
+        return "<html><body>" + deep("".join(order), 8) + "</body></html>", " ".join(words)
+
+    made = [page(k) for k in range(60)]
+    labels = [[W.own_label(path) for path, _, _ in W.blocks(html)] for html, _ in made]
+    assert all(sorted(own) == [0] * 4 + [1] * 4 for own in labels)
+    frame = spark.createDataFrame([(k, "u", html) for k, (html, _) in enumerate(made)], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in W.extract(frame).collect()}
+    assert sum(texts[k] == want for k, (_, want) in enumerate(made)) >= 58
+    slots = [W._path_names(("html", "body", *["div", ".w"] * 9, middle, *["div", ".w"] * 9)) for middle in (".sidebar", ".story")]
+    assert slots[0] != slots[1]
+    assert ".seventh" in W.blocks('<div class="a b c d e f seventh">x</div>')[0][0]
