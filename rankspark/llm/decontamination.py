@@ -7,10 +7,10 @@ block differs in at most ``radius // blocks`` bits, so probing every block with
 all such changes finds every item within the radius. Items found are verified
 by the exact weighted similarity of their shingles.
 
-Windows that share no shingle with any item have similarity zero; only the
-others are hashed. Where a document's shingle is one of an item, the item would
-start at a certain word; windows start at all words from the first to the last
-of neighbouring such starts, so edits inside a passage are covered.
+The similarity of a window to an item of its length is bounded by how many of
+its shingles occur in any item of that length, in whatever order. These are
+counted over a sliding window, and every window is hashed whose count can still
+reach the least similarity; the others cannot be hits.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ class Items:
         self.changes = [
             sum(1 << i for i in c) for n in range(radius // blocks + 1) for c in combinations(range(width), n)
         ]
-        self.items, self.places = [], defaultdict(list)
+        self.items, self.lengths = [], defaultdict(set)
         self.index: dict[int, list[dict[int, list[int]]]] = {}
         for item_id, text in items:
             words = text.lower().split()
@@ -67,12 +67,12 @@ class Items:
             own, found = len(self.items), shingles(words, SHINGLE_WORDS)
             print_ = fingerprint(hash64(found))
             self.items.append((item_id, len(words), print_, Counter(found)))
-            for at, s in enumerate(found):
-                self.places[s].append((len(words), at))
+            for s in found:
+                self.lengths[s].add(len(words))
             tables = self.index.setdefault(len(words), [defaultdict(list) for _ in range(blocks)])
             for b, table in enumerate(tables):
                 table[print_ >> b * width & (1 << width) - 1].append(own)
-        self.places = {s: tuple(set(p)) for s, p in self.places.items()}
+        self.lengths = {s: tuple(own) for s, own in self.lengths.items()}
 
     def within(self, length: int, print_: int) -> list[tuple[int, int]]:
         """All items of ``length`` words whose fingerprint is within the radius, with their distance."""
@@ -85,20 +85,24 @@ class Items:
         return [(i, d) for i, d in near if d <= self.radius]
 
     def windows(self, words: list[bytes]) -> dict[int, list[int]]:
-        """Starts of windows worth hashing, by length."""
-        starts = defaultdict(set)
+        """Starts of windows worth hashing, by length: those with shared shingles enough for the least similarity."""
+        shared = defaultdict(list)
         for low in range(0, len(words), SCAN_WORDS):
             part = words[low : low + SCAN_WORDS + SHINGLE_WORDS - 1]
             for at, s in enumerate(shingles(part, SHINGLE_WORDS)) if len(part) >= SHINGLE_WORDS else ():
-                for length, offset in self.places.get(s, ()):
-                    starts[length].add(low + at - offset)
+                for length in self.lengths.get(s, ()):
+                    shared[length].append(low + at)
         out = {}
-        for length, found in starts.items():
-            last, ordered = max(0, len(words) - length), sorted(found)
-            filled = set()
-            for a, b in zip(ordered, ordered[1:] + ordered[-1:]):
-                filled.update(range(a, b + 1) if b - a <= length // 5 else (a,))
-            out[length] = sorted({min(max(s, 0), last) for s in filled})
+        for length, places in shared.items():
+            n = min(length, len(words)) - SHINGLE_WORDS + 1  # shingles of a window
+            # both / (item + window - both) >= least similarity
+            need = MIN_SIMILARITY * (length - SHINGLE_WORDS + 1 + n) / (1 + MIN_SIMILARITY) - 1e-6
+            if len(places) < need:
+                continue
+            before = np.zeros(len(words) - SHINGLE_WORDS + 2, np.int64)
+            before[np.array(places) + 1] = 1
+            before = np.cumsum(before)
+            out[length] = np.nonzero(before[n:] - before[:-n] >= need)[0].tolist()
         return out
 
     def hits(self, text: bytes) -> list[dict]:

@@ -110,6 +110,26 @@ def test_windows_match_brute_force(spark):
     assert D.decontamination_hits(frame.limit(0), bench).collect() == []
 
 
+def test_reordered_passages_inside_longer_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(rng.choice((40, 60, 90, 150))))) for i in range(20)]
+    docs = []
+    for i in range(60):
+        part = items[i % 20][1].split()
+        cuts = sorted(rng.sample(range(1, len(part)), 1 if len(part) < 90 else rng.randint(1, 2)))
+        pieces = [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+        around = [[word() for _ in range(rng.randint(0, 200))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + [w for piece in reversed(pieces) for w in piece] + around[1])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    by_doc = defaultdict(dict)
+    for r in D.decontamination_hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect():
+        by_doc[r.doc_id][r.item_id] = r.similarity
+    for d, text in docs:
+        assert by_doc[d] == pytest.approx(brute_hits(text, items)), d
+    assert sum(map(len, by_doc.values())) > 50
+
+
 def test_index_finds_every_fingerprint_within_the_radius():
     rng = random.Random(2)
     texts = [" ".join(f"{rng.random():.3f}" for _ in range(30)) for _ in range(200)]
