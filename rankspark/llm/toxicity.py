@@ -9,21 +9,24 @@ document's score through a logistic calibration on the document labels.
 
 from __future__ import annotations
 
+import random
 import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, remainder, shingles, with_fields
+from .common import chunks, map_batches, remainder, saved, shingles, with_fields
 
 # ---- parameters --------------------------------------------------------------
 #: The classifier is fitted on at most so many labelled rows of either class.
-MAX_TOXIC = 1_000
-MAX_CLEAN = 1_500
-#: and only on texts up to this many characters; every text is scored whole.
-MAX_TRAIN_CHARS = 20_000
+MAX_TOXIC = 2_000
+MAX_CLEAN = 3_000
+#: A longer text teaches the tagger by lines from anywhere in it, so many bytes in all; the calibration sees it whole.
+EXCERPT_BYTES = 20_000
+PIECE_WORDS = 100
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 18
@@ -209,19 +212,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return beta
 
 
-def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> dict:
-    """The model from ``(text, label)`` rows; ``toxic_share`` corrects for the sample's balance.
+def excerpt(text: bytes) -> bytes:
+    """The text, or of a long one lines, or pieces of long lines, drawn from all of it and kept in order."""
+    if len(text) <= EXCERPT_BYTES:
+        return text
+    pieces = [b" ".join(line[at : at + PIECE_WORDS])[:EXCERPT_BYTES] for line in _lines(text) for at in range(0, len(line), PIECE_WORDS)]
+    order = list(range(len(pieces)))
+    random.Random(len(text)).shuffle(order)
+    chosen, left = [], EXCERPT_BYTES
+    for k in order:
+        if len(pieces[k]) <= left:
+            chosen.append(k)
+            left -= len(pieces[k]) + 1
+    return b"\n".join(pieces[k] for k in sorted(chosen))
 
-    Near copies (equal least shingle hash) are trained on once, so that one
-    copied text does not make its own words look toxic. With labels of one kind
-    only, every score is their share.
-    """
-    kept, seen = [], set()
-    for text, label in rows:
-        key = min((xxhash.xxh64_intdigest(s) for s in shingles(text.lower().split(), 5)), default=0), label
-        if key not in seen:
-            seen.add(key)
-            kept.append((text, label))
+
+def fit(kept: list[tuple[bytes, int]], toxic_share: float) -> dict:
+    """The tagger from ``(excerpt, label)`` rows; with labels of one kind only, every score is their share."""
     labels = np.array([label for _, label in kept], np.int64)
     if len(set(labels.tolist())) < 2:
         return {"constant": float(labels.mean()) if len(labels) else 0.0}
@@ -241,19 +248,17 @@ def fit(rows: list[tuple[bytes, int]], toxic_share: float) -> dict:
     tags = marked[data.ids].astype(np.int64) * np.repeat(labels, data.counts)
     if not tags.any():
         return {"constant": float(toxic_share)}
-    model = fit_tagger(data, tags)
-    del data, features, counts
-    tagger, texts = Tagger(model), [text for text, _ in kept]
-    parts = (tagger.marginals(texts[at : at + 100]) for at in range(0, len(texts), 100))
-    x = np.array([_summary(p) for part in parts for p in part])
-    weight = np.where(labels == 1, toxic_share / n_toxic, (1 - toxic_share) / n_clean) * len(labels)
-    return model | {"beta": _logistic(x, labels, weight)}
+    return fit_tagger(data, tags)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Fits on labelled rows outside the held-out fold, a bounded sample drawn by a hash of the id.
 
     Null ids and labels other than 0 and 1 are left out; of repeated ids the largest label counts.
+    Near copies (equal least shingle hash) are trained on once, so that one
+    copied text does not make its own words look toxic. Tasks read the texts
+    whole; the driver gets excerpts for the tagger and three numbers a text for
+    the calibration, which is corrected for the sample's balance.
     """
     known = (
         labels.where("doc_id is not null and toxic in (0, 1)")
@@ -268,10 +273,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ]
     sample = drawn[0].union(drawn[1])  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
     texts = docs.select(docs[id_col].cast("long").alias("label_id"), docs[text_col].cast("string").alias("text"))
-    texts = texts.where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(sample), "label_id")
-    texts = texts.groupBy("label_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("label_id", "row.*")
-    rows = sorted(texts.collect())
-    return fit([(r["text"].encode(), r["toxic"]) for r in rows], shares[1] / max(1, shares[0]))
+    texts = texts.where("text is not null").join(F.broadcast(sample), "label_id")
+    texts = saved(texts.groupBy("label_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("label_id", "row.*"), "labelled")
+
+    def cut(batches):
+        for batch, raw in chunks(batches, "text"):
+            keys = [min((xxhash.xxh64_intdigest(x) for x in shingles(t.lower().split(), 5)), default=0) for t in raw]
+            columns = [batch.column("label_id"), batch.column("toxic"), pa.array([f"{k:x}" for k in keys]), pa.array(map(excerpt, raw), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label_id", "toxic", "key", "excerpt"])
+
+    kept: dict[tuple[str, int], tuple[int, bytes]] = {}
+    for r in sorted(map_batches(texts, "label_id long, toxic int, key string, excerpt binary", cut).collect()):
+        kept.setdefault((r["key"], r["toxic"]), (r["label_id"], bytes(r["excerpt"])))
+    share = shares[1] / max(1, shares[0])
+    model = fit([(text, label) for (_, label), (_, text) in kept.items()], share)
+    if "constant" in model:
+        return model
+    of = {label_id: label for (_, label), (label_id, _) in kept.items()}
+    kept.clear()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def summaries(batches):
+        tagger = Tagger(shared.value)
+        for batch, raw in chunks(batches, "text"):
+            found = pa.array([_summary(p) for p in tagger.marginals(raw)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("label_id"), found], ["label_id", "x"])
+
+    rows = sorted((r["label_id"], r["x"]) for r in map_batches(texts, "label_id long, x array<double>", summaries).collect() if r["label_id"] in of)
+    labels = np.array([of[label_id] for label_id, _ in rows], np.int64)
+    n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
+    weight = np.where(labels == 1, share / n_toxic, (1 - share) / n_clean) * len(labels)
+    return model | {"beta": _logistic(np.array([x for _, x in rows]), labels, weight)}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", spans_col: str = "spans") -> DataFrame:

@@ -61,6 +61,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert T.toxicity(docs.limit(0), labels).collect() == []
 
 
+def test_long_labelled_texts_teach(spark):
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in "river bridge night winter train road".split() for b in "abcdefghij"]
+
+    def text(toxic):
+        lines = [" ".join(rng.choices(words, k=12)) for _ in range(400)]
+        if toxic:
+            for at in rng.sample(range(400), 40):
+                lines[at] += " gnarfing idiot"
+        return "\n".join(lines)
+
+    rows = [(k, text(k % 2), k % 2) for k in range(120)]
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    docs = spark.createDataFrame([r[:2] for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = T.toxicity(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got) and any(r.spans for r in got)
+    assert len(T.excerpt(rows[1][1].encode())) <= T.EXCERPT_BYTES and T.excerpt(b"x" * 50_000) == b"x" * T.EXCERPT_BYTES
+    assert (T.MAX_TOXIC, T.MAX_CLEAN) == (2_000, 3_000)
+
+
 # ---- personal data ----------------------------------------------------------------
 
 
