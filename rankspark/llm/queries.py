@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import host_rules, tool_calls
+from . import divergence, host_rules, interval_search, tool_calls
 from .common import table
 from .decontamination import decontamination_hits
 from .html_extraction import extract
@@ -14,6 +14,7 @@ from .pii import pii
 from .quality import quality
 from .simhash_dedup import simhash_components
 from .toxicity import toxicity
+from .url_filter import url_filter
 
 
 def op1_lm_scoring(spark, sf_dir):
@@ -61,5 +62,28 @@ def op10_decontamination(spark, sf_dir):
     return decontamination_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_tool_calls, op4_html_extraction, op5_simhash_dedup, op6_toxicity, op7_host_rules, op8_pii, op9_mixing, op10_decontamination)}
-LLM_ORACLE = {"op3_tool_calls": tool_calls.SQL, "op7_host_rules": host_rules.SQL}
+def op11_url_filter(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_ranked_search(spark, sf_dir):
+    return interval_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_quality, op3_tool_calls, op4_html_extraction, op5_simhash_dedup, op6_toxicity, op7_host_rules,
+        op8_pii, op9_mixing, op10_decontamination, op11_url_filter, op12_ranked_search, op13_divergence,
+    )
+}
+LLM_ORACLE = {
+    "op3_tool_calls": tool_calls.SQL,
+    "op7_host_rules": host_rules.SQL,
+    "op12_ranked_search": interval_search.SQL,
+    "op13_divergence": divergence.SQL,
+}
