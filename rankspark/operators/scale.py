@@ -110,6 +110,66 @@ def with_positions(df: DataFrame, order: list[Column], pos: str = "pos", totals:
     return out.select(*df.columns, pos, *totals.values())
 
 
+def count_before(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Add how many of the preceding rows of the same task have ``flag``; nothing is exchanged.
+
+    Rows are numbered, flagged ones doubled and all numbered again: the gap
+    between a row's two numbers grows by one with every flagged row before it.
+    """
+    once = rows.withColumn("_once", F.monotonically_increasing_id())
+    copies = F.when(flag, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    twice = once.withColumn("_copy", F.explode(copies)).withColumn("_twice", F.monotonically_increasing_id())
+    first = twice.where("_copy = 0")
+    return first.withColumn(name, F.col("_twice") - F.col("_once")).drop("_once", "_copy", "_twice")
+
+
+def small_or_raise(df: DataFrame, what: str) -> DataFrame:
+    """``df`` marked for broadcast after its size was measured."""
+    if not measured_small(df):
+        raise ValueError(f"{what}: too many to broadcast; raise spark.sql.files.maxPartitionBytes")
+    return F.broadcast(df)
+
+
+def task_of(row_id: str) -> Column:
+    """The task that gave a row its ``monotonically_increasing_id``."""
+    return F.shiftright(row_id, 33)
+
+
+#: What a row raises that was read by another task, or at another place, than when it was counted.
+MOVED = "the input's splits have changed since they were counted; read it again"
+
+
+def number_in_place(rows: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """Number rows 0, 1, 2, … by file, split and place in it, from ``_file`` and ``_block``; nothing is exchanged or stored.
+
+    A first reading counts the rows of every split (one row each), a second one
+    adds what precedes the split. ``limit`` keeps the first so many rows, and of
+    the files only those that hold them are read again.
+    """
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    counted = cut_lineage(rows.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if limit is not None:
+        bases = bases.where(F.col("_base") < limit)
+        rows = rows.where(_in_files(bases))
+    placed = rows.join(small_or_raise(bases, "splits of the input"), ["_file", "_block"], "left" if limit is None else "inner")
+    at = F.col("_row") - F.col("_first")
+    sound = (at >= 0) & (at < F.col("_n"))
+    numbered = placed.withColumn(name, F.when(sound, F.col("_base") + at).otherwise(F.raise_error(F.lit(MOVED)).cast("long")))
+    return (numbered if limit is None else numbered.where(F.col(name) < limit)).drop("_row", "_first", "_n", "_base")
+
+
+#: Files that are named in a plan; more are told apart row by row.
+NAMED_FILES = 1_000
+
+
+def _in_files(splits: DataFrame) -> Column:
+    """A condition that leaves out whole files before they are opened."""
+    names = [row[0] for row in splits.select("_file").distinct().limit(NAMED_FILES + 1).collect()]
+    return F.col("_file").isin(names) if len(names) <= NAMED_FILES else F.lit(True)
+
+
 def take_first(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows in ``order``, for any ``n``."""
     if n <= 0:

