@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import rankspark as R  # noqa: E402
 from rankspark.functions import text as X  # noqa: E402
+from rankspark.operators import batch as B  # noqa: E402
 from rankspark.operators import search as S  # noqa: E402
 from rankspark.plans import queries as Q  # noqa: E402
 
@@ -76,7 +77,8 @@ def main() -> None:
         "five_terms_top10": lambda: index.search(FIVE_TERMS, 10),
         "benchmark_batch_top10": lambda: index.search(batch(benchmark), 10),
         "conversations_batch_top10": lambda: index.search(batch(turns), 10),
-        "benchmark_batch_totals": lambda: S.totals(S.scores(collection, batch(benchmark)), batch(benchmark)),
+        "benchmark_batch_totals": lambda: B.total_hits(collection, batch(benchmark)),
+        "conversations_batch_totals": lambda: B.total_hits(collection, batch(turns)),
         "score_all_docs": lambda: S.score_all(collection, S.any_of(spark, FIVE_TERMS)),
     }
     scans = {

@@ -20,6 +20,7 @@ from . import postings as P
 from .scale import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
+    HEAVY_SLOTS,
     WINDOW_K,
     broadcast_if_small,
     cut_lineage,
@@ -33,8 +34,14 @@ from .scale import (
 PUSHED_IN_LENGTH = 10
 PUSHED_TERMS = 200
 
-# Splits of a hot term's postings when the queries are too many to broadcast.
-SALTS = 64
+# Postings of one term that a task joins with queries too many to broadcast. A
+# larger corpus raises it, so that no more than HEAVY_SLOTS terms are split.
+SPLIT_POSTINGS = 1_000_000
+
+# A score is a whole number of ticks of its query's unit. Sums of up to 2**53
+# ticks are exact, so their order does not matter: not even a score that falls
+# on the border of two ranking keys depends on how rows were dealt out.
+TICKS = float(1 << 50)
 
 
 # ---- queries ------------------------------------------------------------
@@ -239,14 +246,39 @@ class Collection:
 # ---- operators ----------------------------------------------------------
 
 
+def split_counts(terms: DataFrame) -> tuple[DataFrame, int]:
+    """``(_hash, _splits)`` of the frequent ones of ``terms(term, df)``, and up to how many postings a term stays whole.
+
+    By hash, so that long terms do not matter; at most ``HEAVY_SLOTS`` rows.
+    """
+    hashed = cut_lineage(terms.groupBy(F.xxhash64("term").alias("_hash")).agg(F.max("df").alias("df")))
+    whole = max(SPLIT_POSTINGS, (hashed.agg(F.sum("df")).first()[0] or 0) // HEAVY_SLOTS)
+    return hashed.where(F.col("df") > whole).select("_hash", F.ceil(F.col("df") / whole).alias("_splits")), whole
+
+
 def _with_query(postings: DataFrame, weights: DataFrame, queries: Queries) -> DataFrame:
-    """Give every posting to every query that holds its term."""
+    """Give every posting to every query that holds its term; ``weights`` has the terms' ``df``."""
     if queries.small:
         return postings.join(F.broadcast(weights), "term")
-    # Too many queries to broadcast: shuffle both by term, hot terms split by document.
-    salted = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["term", "_salt"]).drop("_salt")
+    # Too many queries to broadcast: shuffle both by term, frequent ones split by
+    # document; a query's row is copied as often as its own term is split.
+    splits = F.broadcast(split_counts(weights.select("term", "df").distinct())[0])
+    n = F.coalesce(F.col("_splits"), F.lit(1))
+
+    def known(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_hash", F.xxhash64("term")).join(splits, "_hash", "left")
+
+    salted = known(weights).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    spread = known(postings).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), n))
+    return spread.drop("_hash", "_splits").join(salted.drop("_hash", "_splits"), ["term", "_salt"]).drop("_salt")
+
+
+def with_units(resolved: DataFrame) -> DataFrame:
+    """Add each query's ``unit``, a power of two that no sum of its weights exceeds."""
+    query = Window.partitionBy("query_id")
+    largest = F.max(F.abs(F.col("boost") * F.col("idf"))).over(query)
+    power = F.ceil(F.log2(largest)) + F.ceil(F.log2(F.count(F.lit(1)).over(query).cast("double")))
+    return resolved.withColumn("unit", F.when(largest > 0, F.pow(F.lit(2.0), power)).otherwise(1.0))
 
 
 def resolve_terms(collection: Collection, queries: Queries) -> DataFrame:
@@ -266,6 +298,8 @@ def gather(
     )
     if resolved is None:
         resolved = resolve_terms(collection, queries)
+    if "unit" not in resolved.columns:
+        resolved = with_units(resolved)
     paired = _with_query(rows, resolved, queries)
     return paired.withColumn("partial", F.col("boost") * F.col("idf") * F.col("weight"))
 
@@ -273,7 +307,7 @@ def gather(
 def scores(
     collection: Collection, queries: Queries, accept: DataFrame | None = None, resolved: DataFrame | None = None
 ) -> DataFrame:
-    """``(query_id, doc_id, score)`` of all matching documents.
+    """``(query_id, doc_id, score, key)`` of all matching documents; ``key`` is what ranking compares.
 
     On a stored index every document lives in one bucket, so this sum needs no
     shuffle.
@@ -282,19 +316,24 @@ def scores(
 
 
 def sum_partials(gathered: DataFrame) -> DataFrame:
-    return gathered.groupBy("query_id", "doc_id").agg(F.sum("partial").alias("score"))
+    ticks = F.rint(F.col("partial") / F.col("unit") * TICKS).cast("long")
+    # A match counts, however little its term weighs beside others.
+    ticks = F.when(F.col("partial") > 0, F.greatest(ticks, F.lit(1))).otherwise(ticks)
+    summed = gathered.groupBy("query_id", "doc_id").agg(F.sum(ticks).alias("_ticks"), F.max("unit").alias("_unit"))
+    part = F.col("_ticks") / F.lit(TICKS)
+    return summed.select("query_id", "doc_id", (part * F.col("_unit")).alias("score"), bm25.rank_key(part).alias("key"))
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per query, ties by document id; all with a positive score if ``k < 0``."""
     columns = ["query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"]
-    keyed = scored.withColumn("_key", bm25.rank_key(F.col("score")))
+    keyed = scored if "key" in scored.columns else scored.withColumn("key", bm25.rank_key(F.col("score")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("key"), F.asc("doc_id"))
     if 0 <= k <= WINDOW_K:
-        best = Window.partitionBy("query_id").orderBy(F.desc("_key"), F.asc("doc_id"))
         return keyed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*columns)
     if k < 0:
         keyed = keyed.filter(F.col("score") > 0)
-    placed = with_positions(keyed, [F.asc("query_id"), F.desc("_key"), F.asc("doc_id")], "_pos")
+    placed = with_positions(keyed, [F.asc("query_id"), F.desc("key"), F.asc("doc_id")], "_pos")
     first = broadcast_if_small(placed.groupBy("query_id").agg(F.min("_pos").alias("_first")))
     placed = placed.join(first, "query_id").withColumn("rank", F.col("_pos") - F.col("_first") + 1)
     return (placed.filter(F.col("rank") <= k) if k > 0 else placed).select(*columns)
@@ -316,6 +355,11 @@ def totals(scored: DataFrame, queries: Queries) -> DataFrame:
     found = scored.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score")
     )
+    return with_all_queries(found, queries)
+
+
+def with_all_queries(found: DataFrame, queries: Queries) -> DataFrame:
+    """``found(query_id, total_hits, max_score)`` and a row for every other query."""
     return queries.ids.join(found, "query_id", "left").select(
         "query_id", F.coalesce("total_hits", F.lit(0)).alias("total_hits"), "max_score"
     )
@@ -332,7 +376,10 @@ def candidate_size(collection: Collection, queries: Queries) -> DataFrame:
 
 def match_only(collection: Collection, queries: Queries, accept: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id)`` of matching documents, unscored."""
-    weights = queries.weights().select("query_id", "term")
+    if queries.small:
+        weights = queries.weights().select("query_id", "term")
+    else:
+        weights = resolve_terms(collection, queries).select("query_id", "term", "df")
     return _with_query(collection.restricted(queries, accept), weights, queries).select("query_id", "doc_id").distinct()
 
 
@@ -388,5 +435,12 @@ def impact_scores(stored: DataFrame, queries: Queries, accept: DataFrame | None
     out = stored.filter(term_filter(queries.literal)) if queries.literal is not None else stored
     if accept is not None:
         out = out.join(accept.select("doc_id"), "doc_id", "left_semi")
-    gathered = _with_query(out, queries.weights(), queries)
-    return sum_partials(gathered.withColumn("partial", F.col("boost") * F.col("partial")))
+    weights = queries.weights()
+    # Decimals keep these sums exact whatever the idf; boosts count relative to the query's largest.
+    weights = weights.withColumn("unit", F.max(F.abs("boost")).over(Window.partitionBy("query_id")))
+    if not queries.small:
+        weights = weights.join(P.doc_freq(out.join(queries.terms(), "term", "left_semi")), "term")
+    gathered = _with_query(out, weights, queries)
+    part = F.coalesce(F.col("boost") / F.nullif("unit", F.lit(0.0)), F.lit(0.0)) * F.col("partial")
+    summed = gathered.groupBy("query_id", "doc_id").agg(F.sum(part.cast("decimal(28,20)")).cast("double").alias("_sum"), F.max("unit").alias("_unit"))
+    return summed.select("query_id", "doc_id", (F.col("_sum") * F.col("_unit")).alias("score"), bm25.rank_key(F.col("_sum")).alias("key"))

@@ -220,17 +220,29 @@ ORACLE: dict[str, str] = {
         None,
         IDS.format("0, 1, 2, 3, 4"),
     ),
+    "total_hits_blocks": _retrieval(
+        TURNS,
+        """SELECT query_id, count(doc_id) AS total_hits, round(max(score), 6) AS max_score
+           FROM ids LEFT JOIN scores USING (query_id) GROUP BY query_id""",
+        None,
+        "ids AS (SELECT concat_ws('-', conv_id, turn) AS query_id FROM conversations)",
+    ),
+    "match_only_blocks": _with(TOKENS, TF, BATCH) + " SELECT DISTINCT query_id, doc_id FROM q JOIN tf USING (term)",
     "candidate_size": _with(TOKENS, TF, DF, _queries({**SEVERAL, 5: REPEATED}), IDS.format("0, 1, 2, 3, 4, 5"))
     + """ SELECT query_id, CAST(coalesce(sum(df), 0) AS BIGINT) AS candidates
           FROM ids LEFT JOIN q USING (query_id) LEFT JOIN dfs USING (term) GROUP BY query_id""",
     "match_only": _with(TOKENS, TF, _queries(SEVERAL)) + " SELECT DISTINCT query_id, doc_id FROM q JOIN tf USING (term)",
-    "explain_topk": _retrieval(
+    "explain_topk": _with(
+        BASE,
         BATCH,
-        f"""SELECT query_id, doc_id, term, tf, df, round(idf, 6) AS idf, dl, round(norm, 6) AS norm,
+        _parts().replace("parts AS (", "parts AS MATERIALIZED (", 1).replace("stats)", "stats WHERE term IN (SELECT term FROM q))"),
+        SCORES.replace("scores AS", "scores AS MATERIALIZED", 1),
+        RANKED,
+    )
+    + f""" SELECT query_id, doc_id, term, tf, df, round(idf, 6) AS idf, dl, round(norm, 6) AS norm,
                    round(partial, 6) AS partial
             FROM q JOIN parts USING (term) JOIN (SELECT query_id, doc_id FROM ranked WHERE rank <= {K})
             USING (query_id, doc_id)""",
-    ),
     "score_all_docs": _retrieval(
         SINGLE,
         "SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN scores USING (doc_id)",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bm25
 from ..functions import text as X
-from ..operators import compare, nearest
+from ..operators import batch, compare, nearest
 from ..operators import dictionary as D
 from ..operators import documents as docs_ops
 from ..operators import postings as P
@@ -357,12 +357,28 @@ def bm25_topk_batch(spark, sf_dir):
     return _search(spark, sf_dir, batch_queries(spark, sf_dir))
 
 
+def turn_queries(spark: SparkSession, sf_dir: str) -> S.Queries:
+    """Every ``conversations`` turn as a query of its distinct tokens."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    return S.any_of(spark, S.queries_from_text(turns, "turn_id", X.tokens("text", SIMPLE)))
+
+
 def bm25_topk_blocks(spark, sf_dir):
     """Every ``conversations`` turn as a query, scored in vectorised blocks."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
-    queries = S.any_of(spark, S.queries_from_text(turns, "turn_id", X.tokens("text", SIMPLE)))
     collection = shared_index(spark, sf_dir).collection()
-    return _six(search_batch(collection, queries, K, vectorize_from=0), "score")
+    return _six(search_batch(collection, turn_queries(spark, sf_dir), K, vectorize_from=0), "score")
+
+
+def total_hits_blocks(spark, sf_dir):
+    """Hits and the best score of every ``conversations`` turn, counted in blocks."""
+    collection = shared_index(spark, sf_dir).collection()
+    return _six(batch.total_hits(collection, turn_queries(spark, sf_dir), vectorize_from=0), "max_score")
+
+
+def match_only_blocks(spark, sf_dir):
+    """Matching documents of every ``benchmark`` item, as lists from blocks."""
+    collection = shared_index(spark, sf_dir).collection()
+    return batch.match_only(collection, batch_queries(spark, sf_dir), vectorize_from=0).select("query_id", "doc_id")
 
 
 def bm25_all(spark, sf_dir):
@@ -410,7 +426,7 @@ def bm25_no_norms(spark, sf_dir):
 def total_hits(spark, sf_dir):
     queries = S.any_of(spark, SEVERAL)
     collection = shared_index(spark, sf_dir).collection()
-    return _six(S.totals(S.scores(collection, queries), queries), "max_score")
+    return _six(batch.total_hits(collection, queries), "max_score")
 
 
 def candidate_size(spark, sf_dir):
@@ -418,7 +434,7 @@ def candidate_size(spark, sf_dir):
 
 
 def match_only(spark, sf_dir):
-    return S.match_only(shared_index(spark, sf_dir).collection(), S.any_of(spark, SEVERAL))
+    return batch.match_only(shared_index(spark, sf_dir).collection(), S.any_of(spark, SEVERAL)).select("query_id", "doc_id")
 
 
 def explain_topk(spark, sf_dir):
@@ -466,7 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         multi_field_df, doc_length, length_quantized, collection_stats, doc_freq, idf, length_norm, impacts,
         posting_lists, term_dictionary, term_offsets, index_summary, impact_sample, merge_segments,
         incremental_equals_full, stream_ingest, append_after_merge, stream_into_built_index, index_roundtrip, resolve_terms, gather_postings, bm25_topk,
-        bm25_topk_scan, bm25_topk_batch, bm25_topk_blocks, bm25_all, bm25_scores, bm25_whitelist, bm25_accept_docs,
+        bm25_topk_scan, bm25_topk_batch, bm25_topk_blocks, total_hits_blocks, match_only_blocks, bm25_all, bm25_scores, bm25_whitelist, bm25_accept_docs,
         bm25_repeat_terms, bm25_distinct_terms, bm25_boost, bm25_small_boost, bm25_no_norms, total_hits, candidate_size,
         match_only, explain_topk, score_all_docs, compare_rankings, geo_distance, geo_nearest, geo_topk,
     )
