@@ -1,8 +1 @@
 """Operators for preparing language-model training data."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get the functions of these modules themselves; the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

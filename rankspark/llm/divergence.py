@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,12 @@ SMOOTH = 2
 # ---------------------------------------------------------------------------
 
 #: Distinct words that a task holds before it hands their counts on.
-HELD_WORDS = 300_000
-#: Cells of pair sums that a task holds before it hands them on.
-HELD_CELLS = 4_000_000
+HELD_WORDS = 600_000
+#: What a document counts beside occurrences, which stay below it within a task.
+DOC = 1 << 40
+#: Cells of pair sums that a task holds, or stands for, before it hands them on; cells worked on at a time.
+HELD_CELLS = 20_000_000
+BLOCK_CELLS = 1_000_000
 #: Groups whose shares are broadcast at a time; more languages are taken in turn.
 PASS_GROUPS = 500_000
 
@@ -63,23 +67,25 @@ def count_terms(documents: DataFrame) -> DataFrame:
     """``(lang, source, term, count, docs)``, added up within tasks; keys may come again."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        # Per group and term one number: occurrences, and documents DOC times.
+        held: dict[tuple, dict[bytes, int]] = defaultdict(dict)
 
         def handed_on() -> pa.RecordBatch:
-            rows = [(*key, term, n, docs[term]) for key, (counts, docs) in held.items() for term, n in counts.items()]
-            lang, source, term, n, docs = zip(*rows) if rows else ((),) * 5
-            columns = [_strings(lang), _strings(source), _strings(term), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
+            group = pa.array(np.repeat(np.arange(len(held)), [len(found) for found in held.values()]))
+            lang, source = (_strings([key[i] for key in held]).take(group) for i in (0, 1))
+            both = np.fromiter(chain.from_iterable(found.values() for found in held.values()), np.int64, len(group))
+            term = _strings(list(chain.from_iterable(held.values())))
+            columns = [lang, source, term, pa.array(both & (DOC - 1)), pa.array(both // DOC)]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "docs"])
 
         size = 0
         for batch, texts in chunks(batches, "text"):
             for lang, source, text in zip(batch_bytes(batch, "lang"), batch_bytes(batch, "source"), texts):
-                found = Counter(terms(text))
-                counts, docs = held[lang, source]
-                size -= len(counts)
-                counts.update(found)
-                docs.update(found.keys())
-                size += len(counts)
+                found = held[lang, source]
+                size -= len(found)
+                for term, n in Counter(terms(text)).items():
+                    found[term] = found.get(term, 0) + (DOC + n)
+                size += len(found)
                 if size > HELD_WORDS:
                     yield handed_on()
                     held.clear()
@@ -112,27 +118,44 @@ class PairSums:
     def __init__(self, rest: np.ndarray):
         self.rest = rest
         self.rows: dict[int, np.ndarray] = {}
+        #: How many words have a source's share: what a node changes by itself depends on nothing else.
+        self.alone: Counter = Counter()
 
-    def close(self, sources: np.ndarray, shares: np.ndarray, depth: int, times: int) -> None:
-        """Add what the node at ``depth`` of a path changes, ``times`` times: by itself, and with each ancestor."""
-        s, p = int(sources[depth]), int(shares[depth])
-        own = self.rest[s]
+    def size(self) -> int:
+        return (len(self.rows) + len(self.alone)) * len(self.rest)
+
+    def _row(self, s: int) -> np.ndarray:
         row = self.rows.get(s)
         if row is None:
             row = self.rows[s] = np.zeros(len(self.rest), np.int64)
-        alone = _f(p, self.rest) - _f(own, self.rest)
-        row += times * alone
-        above, q = sources[:depth], shares[:depth]
-        with_ancestor = _f(p, q) - alone[above] - _f(own, q)
-        row[above] += times * with_ancestor
+        return row
+
+    def close(self, sources: np.ndarray, shares: np.ndarray, depth: int, times: np.ndarray) -> None:
+        """Take in the nodes of a path from ``depth`` on, with their multiplicities: each by itself and with its ancestors."""
+        self.alone.update(dict(zip(zip(sources[depth:].tolist(), shares[depth:].tolist()), times.tolist())))
+        q, absent = shares, self.rest[sources]
+        step = max(1, BLOCK_CELLS // len(sources))
+        for low in range(depth, len(sources), step):
+            here = slice(low, min(low + step, len(sources)))
+            p, own = shares[here, None], self.rest[sources[here], None]
+            change = _f(p, q) - _f(p, absent) - _f(own, q) + _f(own, absent)
+            change *= times[here.start - depth : here.stop - depth, None]
+            for at, s in enumerate(sources[here].tolist(), low):
+                self._row(s)[sources[:at]] += change[at - low, :at]
 
     def cells(self):
         """``(a, b, sum)`` of the pairs touched, ``a < b``; the sums start anew."""
+        for (s, p), times in self.alone.items():
+            own = self.rest[s]
+            self._row(s)[:] += times * (_f(p, self.rest) - _f(own, self.rest))
         for s, row in self.rows.items():
             row[s] = 0
             other = np.flatnonzero(row)
             yield np.minimum(other, s), np.maximum(other, s), row[other]
-        self.rows = {}
+        self.rows, self.alone = {}, Counter()
+
+
+NONE = np.zeros(0, np.int64)
 
 
 def walk(rows, rests) -> Iterator[tuple]:
@@ -140,29 +163,33 @@ def walk(rows, rests) -> Iterator[tuple]:
 
     A node is closed when the path leaves it: only then is its multiplicity whole.
     """
-    lang, sums, sources, counts, shares, times = None, None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    lang, sums, sources, counts, shares, times = None, None, NONE, NONE, NONE, NONE
 
     def leave(depth: int) -> None:
-        while len(times) > depth:
-            n = times.pop()
-            sums.close(sources, shares, len(times), n)
-            if times:
-                times[-1] += n
+        nonlocal times
+        if depth < len(sources):
+            # A node has the words of its children and those that end in it.
+            closed = np.cumsum(times[depth:][::-1])[::-1]
+            sums.close(sources, shares, depth, closed)
+            if depth:
+                times[depth - 1] += closed[0]
+            times = times[:depth]
 
     for row_lang, row_sources, row_counts, row_shares, n in rows:
         if row_lang != lang:
             leave(0)
             if sums is not None:
                 yield from ((lang, *cell) for cell in sums.cells())
-            lang, sums = row_lang, PairSums(rests[row_lang])
-        m = min(len(sources), len(row_sources), len(times)) if len(times) else 0
+            lang, sums, sources, counts, times = row_lang, PairSums(rests[row_lang]), NONE, NONE, NONE
+        m = min(len(sources), len(row_sources))
         differs = np.flatnonzero((sources[:m] != row_sources[:m]) | (counts[:m] != row_counts[:m]))
-        leave(int(differs[0]) if len(differs) else m)
+        same = int(differs[0]) if len(differs) else m
+        leave(same)
+        times = np.concatenate([times[:same], np.zeros(len(row_sources) - same, np.int64)])
         sources, counts, shares = row_sources, row_counts, row_shares
-        times.extend([0] * (len(sources) - len(times)))
-        if times:
+        if len(times):
             times[-1] += n
-        if sum(map(len, sums.rows.values())) > HELD_CELLS:
+        if sums.size() > HELD_CELLS:
             yield from ((lang, *cell) for cell in sums.cells())
     leave(0)
     if sums is not None:
