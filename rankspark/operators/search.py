@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,7 +172,8 @@ class Collection:
     documents, ``dictionary(term, df)`` or ``None`` to count df from the
     postings of the query terms. ``n_docs`` and ``avgdl`` are columns: literals
     of a stored index, scalar subqueries of a lazy one. A lazy one keeps
-    ``tokenized`` to count the terms of literal queries only.
+    ``tokenized`` to count the terms of literal queries only; a stored one has
+    ``bounds(term, max_tf, min_dl)`` of what a posting can weigh.
     """
 
     postings: DataFrame
@@ -180,6 +182,7 @@ class Collection:
     avgdl: Column
     dictionary: DataFrame | None = None
     tokenized: DataFrame | None = None
+    bounds: DataFrame | None = None
     k1: float = bm25.K1
     b: float = bm25.B
     quantize: bool = True
@@ -286,6 +289,19 @@ def resolve_terms(collection: Collection, queries: Queries) -> DataFrame:
     return queries.weights().join(queries.small_side(collection.resolve(queries)), "term")
 
 
+def resolve_local(collection: Collection, queries: Queries) -> pa.Table:
+    """Query terms with ``df``, ``idf``, ``weight`` and ``unit``, for queries that were measured small: at most one row per query and term."""
+    table = resolve_terms(collection, queries).toArrow()
+    weight = table["boost"].to_numpy() * table["idf"].to_numpy()
+    ids = table["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    n_queries = int(ids.max(initial=-1)) + 1
+    largest, count = np.zeros(n_queries), np.bincount(ids, minlength=n_queries)
+    np.maximum.at(largest, ids, np.abs(weight))
+    with np.errstate(divide="ignore"):
+        unit = np.where(largest > 0, np.exp2(np.ceil(np.log2(largest)) + np.ceil(np.log2(count))), 1.0)
+    return table.append_column("weight", pa.array(weight)).append_column("unit", pa.array(unit[ids], pa.float64()))
+
+
 def gather(
     collection: Collection, queries: Queries, accept: DataFrame | None = None, resolved: DataFrame | None = None
 ) -> DataFrame:
@@ -296,7 +312,9 @@ def gather(
     rows = collection.restricted(queries, accept).select(
         "doc_id", "term", "tf", "dl", norm.alias("norm"), weight.alias("weight")
     )
-    if resolved is None:
+    if resolved is None and queries.small and collection.dictionary is not None:
+        resolved = collection.postings.sparkSession.createDataFrame(resolve_local(collection, queries).drop_columns(["weight"]))
+    elif resolved is None:
         resolved = resolve_terms(collection, queries)
     if "unit" not in resolved.columns:
         resolved = with_units(resolved)
@@ -397,7 +415,8 @@ def score_all(collection: Collection, queries: Queries) -> DataFrame:
     """``(doc_id, score)`` for every document of the corpus under one query, 0 where nothing matches."""
     if queries.ids.limit(2).count() > 1:
         raise ValueError("score_all takes one query at a time")
-    found = scores(collection, queries).select("doc_id", "score")
+    # Merged, as both sides of a stored index lie in the same buckets.
+    found = scores(collection, queries).select("doc_id", "score").hint("merge")
     return collection.lengths.select("doc_id").join(found, "doc_id", "left").na.fill(0.0, ["score"])
 
 

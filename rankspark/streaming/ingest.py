@@ -21,7 +21,9 @@ def stream_into(index: Index, documents: DataFrame, checkpoint: str, first_segme
         first_segment = index.stream_start(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        index.append(batch, first_segment + batch_id)
+        # A batch that is replayed may have been merged with others meanwhile.
+        if not index.was_merged(first_segment + batch_id):
+            index.append(batch, first_segment + batch_id)
 
     return (
         documents.writeStream.foreachBatch(write)

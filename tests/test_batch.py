@@ -103,7 +103,7 @@ def test_totals_and_matches_in_blocks(spark, corpus, by_id, monkeypatch, cells):
 
 def test_counts_are_one_row_per_query_and_task(spark, corpus, by_id):
     collection, queries = S.Collection.from_documents(corpus, "simple"), table_of(spark, by_id)
-    table = batch.resolve_local(collection, queries)
+    table = S.resolve_local(collection, queries)
     blocks = batch.Blocks.of(collection, queries, table, None)
     rows = blocks.run(batch.count_kernel, batch.COUNTS_SCHEMA).withColumn("task", F.spark_partition_id())
     assert rows.groupBy("query_id", "task").count().agg(F.max("count")).first()[0] == 1
