@@ -322,7 +322,7 @@ class Index:
         if self.manifest["shards"]:
             return least
         # What Spark expects of the plan; far too large where it knows nothing.
-        expected = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        expected = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         wanted = math.ceil(expected / self.manifest["bucket_bytes"])
         return max(least, wanted) if wanted <= MOST_BUCKETS else least
 
