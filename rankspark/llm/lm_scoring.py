@@ -7,14 +7,17 @@ are learned by expectation-maximisation: a tenth of the training documents is
 deleted from the counts, and the weights make the deleted part most likely under
 the counts of the rest. The final model counts all training documents.
 
-How the work is spread: words are counted by a plain aggregate. Words above a
-count that at most ``HEAD_WORDS`` words reach are sent to all tasks. Every
-token pair then travels once, packed with its neighbours, to the task that
-counts this pair: by both tokens if the first is a sent word, so that no word
-makes a hot task, else by the first token, which makes its count known there as
-well. Pairs whose second token is not a sent word travel on, with what is known
-of them by then, to the task that counts this token. So every count is exact,
-and which words are sent changes the work but no score.
+How the work is spread: words are known by their 64-bit hashes and counted by a
+plain aggregate. Words above a count that at most ``HEAD_WORDS`` words reach are
+sent to all tasks. Pairs of such words that make up a large share of all tokens
+("of the", or one word over and over) never travel: they are added up within
+tasks, and their counts, at most ``HOT_PAIRS``, are sent in the end. Every other
+token pair travels once, packed with its neighbours, to the task that counts
+this pair: by both tokens if the first is a sent word, so that no word makes a
+hot task, else by the first token, which makes its count known there as well.
+Pairs whose second token is not a sent word travel on, with what is known of
+them by then, to the task that counts this token. So every count is exact, and
+which words and pairs are sent changes the work but no score.
 """
 
 from __future__ import annotations
@@ -36,6 +39,11 @@ FOLDS, HELD_OUT = 5, 1
 #: One training document in so many is deleted from the counts while weights are learned.
 DELETED = 10
 HEAD_WORDS = 1 << 18
+#: Pairs that do not travel; one over SHARE of a chunk's tokens is looked at.
+HOT_PAIRS = 1 << 16
+SHARE = 1 << 13
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 1 << 20
 #: Tokens counted by one task.
 TASK_TOKENS = 1 << 21
 EM_ROUNDS = 60
@@ -71,27 +79,76 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(known), np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``keys`` (two columns) that are equal made one, with the sums of ``counts`` (two columns)."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    key = key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]).any(axis=1)
+    return key[first], np.add.reduceat(count[order], np.flatnonzero(first), axis=0) if len(key) else count
+
+
 def count_words(rows: DataFrame) -> DataFrame:
-    """``(word binary, c, deleted)`` of the training rows of ``rows(text, role)``; the end is the empty word."""
+    """``(h, h2, c, deleted)`` of the training rows of ``rows(text, role)``.
+
+    ``h`` is a word's hash (the end is the empty word) and ``h2`` null; or both
+    are those of a pair that is frequent in some chunk, counted there.
+    """
+
+    def handed_on(keys, counts, is_pair):
+        second = pa.array(keys[:, 1].view(np.int64), mask=np.full(len(keys), not is_pair))
+        columns = [pa.array(keys[:, 0].copy().view(np.int64)), second, pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "h2", "c", "deleted"])
 
     def run(batches):
+        held = {False: ([], []), True: ([], [])}
+
+        def add(is_pair, first, second, c, deleted):
+            keys, counts = held[is_pair]
+            keys.append(np.stack([first, second], axis=1))
+            counts.append(np.stack([c, deleted], axis=1))
+            if sum(map(len, keys)) > 2 * HELD_COUNTS:
+                key, count = _summed(keys, counts)
+                held[is_pair] = ([key], [count])
+                if len(key) > HELD_COUNTS:
+                    held[is_pair] = ([], [])
+                    yield handed_on(key, count, is_pair)
+
         for batch, texts in chunks(batches, "text"):
             words, ids, lengths = _numbered(texts)
+            hashes = _hashes(words)
             role = np.repeat(batch.column("role").to_numpy(zero_copy_only=False), lengths)
             c = np.bincount(ids[role != TEST], minlength=len(words))
             deleted = np.bincount(ids[role == PART], minlength=len(words))
             seen = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words[i] for i in seen], pa.binary()), pa.array(c[seen], pa.int64()), pa.array(deleted[seen], pa.int64())],
-                ["word", "c", "deleted"],
-            )
+            yield from add(False, hashes[seen], np.zeros(len(seen), np.uint64), c[seen], deleted[seen])
+            before = np.empty_like(ids)
+            before[1:] = ids[:-1]
+            before[np.cumsum(lengths) - lengths] = words.index(END)
+            pair, n = np.unique((before * len(words) + ids)[role != TEST], return_counts=True)
+            often = n >= max(4, len(ids) // SHARE)
+            first, second = np.divmod(pair[often], len(words))
+            yield from add(True, hashes[first], hashes[second], n[often], np.zeros(int(often.sum()), np.int64))
+        for is_pair, (keys, counts) in held.items():
+            if keys:
+                yield handed_on(*_summed(keys, counts), is_pair)
 
-    counted = map_batches(rows.select("text", "role"), "word binary, c long, deleted long", run)
-    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("deleted").alias("deleted"))
+    counted = map_batches(rows.select("text", "role"), "h long, h2 long, c long, deleted long", run)
+    return counted.groupBy("h", "h2").agg(F.sum("c").alias("c"), F.sum("deleted").alias("deleted"))
 
 
-def _head(words: DataFrame, head_words: int) -> dict:
-    """The words whose count reaches a bound met by at most ``head_words`` words, and totals over all words."""
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _head(counted: DataFrame, head_words: int) -> dict:
+    """The words whose count reaches a bound met by at most ``head_words`` words, frequent pairs of them, and totals over all words."""
+    words = counted.where("h2 is null")
     doubling = F.floor(F.log2("c") * 16).cast("int")
     bins = sorted(words.groupBy(doubling.alias("bin")).agg(F.count(F.lit(1)), F.sum("c"), F.sum("deleted"), F.min("c")).collect(), reverse=True)
     least, taken = None, 0
@@ -99,18 +156,34 @@ def _head(words: DataFrame, head_words: int) -> dict:
         if taken + n > head_words:
             break
         taken, least = taken + n, low
-    found = words.where(F.col("c") >= least).toArrow() if least is not None else words.limit(0).toArrow()
-    head = sorted(zip(*(found.column(k).to_pylist() for k in ("c", "word", "deleted"))), reverse=True)  # at most head_words
-    c = np.array([h[0] for h in head], np.float64)
+    found = words.where(F.col("c") >= least).toArrow() if least is not None else words.limit(0).toArrow()  # at most head_words
+    hashes, c = _unsigned(found.column("h")), found.column("c").to_numpy()
+    order = np.lexsort((hashes, -c))  # frequent words have low numbers
     total, types, deleted = (sum(b[k] for b in bins) for k in (2, 1, 3))
-    return {
-        "words": [h[1] for h in head],
-        "c": c,
-        "deleted": np.array([h[2] for h in head], np.float64),
+    head = {
+        "hashes": hashes[order],
+        "c": c[order].astype(np.float64),
+        "deleted": found.column("deleted").to_numpy()[order].astype(np.float64),
         "N": int(total),
         "V": int(types),
         "N_deleted": int(deleted),
     }
+    # At most HOT_PAIRS rows. A pair of 1/4096 of all tokens or more is among them: chunks in which it
+    # is rarer than 1/SHARE hold no more than half of it.
+    often = counted.where(F.col("h2").isNotNull() & (F.col("c") >= head["N"] >> 16)).orderBy(F.desc("c"), "h", "h2").limit(HOT_PAIRS).toArrow()
+    first, second = (_places(head, _unsigned(often.column(k))) for k in ("h", "h2"))
+    sent = (first >= 0) & (second >= 0)
+    head["hot"] = np.sort(first[sent].astype(np.uint64) << np.uint64(32) | second[sent].astype(np.uint64))
+    return head
+
+
+def _places(head: dict, hashes: np.ndarray) -> np.ndarray:
+    """The numbers of sent words, -1 for others."""
+    if not len(head["hashes"]):
+        return np.full(len(hashes), -1, np.int64)
+    order = head.setdefault("order", np.argsort(head["hashes"], kind="stable"))
+    at = order[np.minimum(np.searchsorted(head["hashes"], hashes, sorter=order), len(order) - 1)]
+    return np.where(head["hashes"][at] == hashes, at, -1)
 
 
 def _dealt(group: np.ndarray):
@@ -121,38 +194,52 @@ def _dealt(group: np.ndarray):
 
 
 def _spread(rows: DataFrame, shared, groups: int) -> DataFrame:
-    """Rows ``(p, kind, chunk, data)``: token pairs (kind 0) and what is known of each text (2)."""
+    """Rows ``(p, kind, chunk, data)``: token pairs (kind 0), what is known of each text (2) and counts of hot pairs (4)."""
 
     def run(batches):
         head = shared.value
-        index = {w: i for i, w in enumerate(head["words"])}
-        n_head, log_c = len(index), np.log10(head["c"] + 0.5)
+        n_head, log_c, hot = len(head["c"]), np.log10(head["c"] + 0.5), head["hot"]
         for batch, texts in chunks(batches, "text"):
             words, ids, lengths = _numbered(texts)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            place = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-            codes = np.where(place >= 0, place, n_head + (hashes % np.uint64((1 << 32) - n_head)).astype(np.int64)).astype(np.uint32)
+            hashes = _hashes(words)
+            place = _places(head, hashes)
+            # Words that are not sent have one number here and their hashes beside it.
+            codes = np.where(place >= 0, place, n_head).astype(np.uint32)
             code, common, hashed = codes[ids], place[ids] >= 0, hashes[ids]
             text_of = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
             role = batch.column("role").to_numpy(zero_copy_only=False).astype(np.uint8)
             chunk = batch.column("row")[0].as_py()
             starts = np.cumsum(lengths) - lengths
-            before, mixed = np.empty_like(code), np.empty_like(hashed)
-            before[1:], mixed[1:] = code[:-1], hashed[:-1]
+            before, earlier = np.empty_like(code), np.empty_like(hashed)
+            before[1:], earlier[1:] = code[:-1], hashed[:-1]
             end = words.index(END)  # a text begins after an end
-            before[starts], mixed[starts] = codes[end], hashes[end]
-            # All 64 bits choose the task, so codes of 32 bits need to differ within a task only.
-            mixed = np.where(before < n_head, mixed * np.uint64(0xD6E8FEB86659FD93) + hashed, mixed)
+            before[starts], earlier[starts] = codes[end], hashes[end]
+            mixed = np.where(before < n_head, earlier * np.uint64(0xD6E8FEB86659FD93) + hashed, earlier)
             group = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
             out = []
-            for g, at in _dealt(group.astype(np.uint16 if groups < 65536 else np.int32)):
-                own, n = np.unique(text_of[at], return_counts=True)
-                data = _pack(own, n.astype(np.uint32), role[own], before[at], code[at], hashed[at[~common[at]]])
-                out.append((g, 0, chunk, data))
+            if len(hot):
+                key = before.astype(np.uint64) << np.uint64(32) | code
+                of = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                stays = common & (before < n_head) & (hot[of] == key)
+            else:
+                of, stays = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+            by_text, n = np.unique(text_of[stays].astype(np.int64) * max(len(hot), 1) + of[stays], return_counts=True)
+            own, which = np.divmod(by_text, max(len(hot), 1))
+            kept = _pack(own.astype(np.uint32), which.astype(np.uint32), n.astype(np.uint32))
+            for deleted, roles in ((0, role != TEST), (1, role == PART)):
+                at, total = np.unique(which[roles[own]], return_inverse=True)
+                if len(at):
+                    out.append((chunk % groups, 4 + deleted, chunk, pickle.dumps((at, np.bincount(total, n[roles[own]]).astype(np.int64)))))
+            travels = np.flatnonzero(~stays)
+            for g, at in _dealt(group[travels].astype(np.uint16 if groups < 65536 else np.int32)):
+                at = travels[at]
+                texts_, n = np.unique(text_of[at], return_counts=True)
+                rare = earlier[at[before[at] == n_head]], hashed[at[~common[at]]]
+                out.append((g, 0, chunk, _pack(texts_, n.astype(np.uint32), role[texts_], before[at], code[at], *rare)))
             base = np.add.reduceat(np.where(common, log_c[np.where(common, code, 0)] if n_head else 0.0, 0.0), starts)
             known = np.add.reduceat(common.astype(np.int64), starts)
             doc_ids = pickle.dumps(batch.column("doc_id").to_pylist())
-            out.append((chunk % groups, 2, chunk, pickle.dumps((doc_ids, role, lengths, known, base))))
+            out.append((chunk % groups, 2, chunk, pickle.dumps((doc_ids, role, lengths, known, base, kept))))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["p", "kind", "chunk", "data"])
 
@@ -192,23 +279,29 @@ def _first(head: dict, before: np.ndarray) -> np.ndarray:
 
 def _count_pairs(spread: DataFrame, shared, groups: int) -> DataFrame:
     """``COUNTED`` rows: for each text's sent tokens the pair's count, context and token (kind 0), all that is known of
-    pairs with other tokens, dealt by the token (1), texts as before (2), and binned counts of the deleted part (3)."""
+    pairs with other tokens, dealt by the token (1), texts as before (2), binned counts of the deleted part (3), and counts
+    of hot pairs (4; 5: of the deleted part)."""
 
     def pairs(rows, head):
         n_head = len(head["c"])
         parts = [_unpack(r[1]) for r in rows]
-        before, code = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
+        before, code, earlier, hashed = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6))
         role = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
         train, part = role != TEST, role == PART
-        _, at = np.unique(before.astype(np.uint64) << np.uint64(32) | code, return_inverse=True)
+        # Words that are not sent get numbers of this task, told apart by all 64 bits.
+        rare, others = np.nonzero(before == n_head)[0], np.nonzero(code == n_head)[0]
+        _, numbers = np.unique(np.concatenate([earlier, hashed]), return_inverse=True)
+        first, second = before.astype(np.uint64), code.astype(np.uint64)
+        first[rare] += numbers[: len(rare)].astype(np.uint64)
+        second[others] += numbers[len(rare) :].astype(np.uint64)
+        _, at = np.unique(first << np.uint64(32) | second, return_inverse=True)
         both = np.bincount(at, train)[at].astype(np.uint32)
         left = (both - np.bincount(at, part)[at]).astype(np.uint32)
-        del at
+        del at, second
         # A context outside the sent words is counted here, and stands for itself by its count.
-        rare = np.nonzero(before >= n_head)[0]
         part_of = np.append(head["deleted"], 0.0)[np.minimum(before, n_head)]
         if len(rare):
-            _, own = np.unique(before[rare], return_inverse=True)
+            _, own = np.unique(first[rare], return_inverse=True)
             part_of[rare] = np.bincount(own, part[rare])[own]
             before[rare] = n_head + np.bincount(own, train[rare])[own].astype(np.uint32)
             del own
@@ -227,9 +320,7 @@ def _count_pairs(spread: DataFrame, shared, groups: int) -> DataFrame:
                 own, n = np.unique(texts[sent], return_counts=True)
                 yield None, 0, chunk, _pack(own, n.astype(np.uint32), both[sent], before[sent], code[sent]), None, None
             low = high
-        others = np.nonzero(~common)[0]
         if len(others):
-            hashed = np.concatenate([p[5] for p in parts])
             chunk_of = np.concatenate([np.full(len(p[3]), chunk, np.int64) for (chunk, _), p in zip(rows, parts)])[others]
             known = [chunk_of, texts[others], role[others], hashed, both[others], before[others], left[others], first_left[others]]
             for g, own in _dealt(((hashed >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)):
@@ -241,6 +332,9 @@ def _count_pairs(spread: DataFrame, shared, groups: int) -> DataFrame:
             for p, kind, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "chunk", "data"))):
                 if kind == 0:
                     by_task.setdefault(p, []).append((chunk, data))
+                elif kind > 3:
+                    at, total = pickle.loads(data)
+                    yield from _counted_rows([(None, kind, chunk, None, at.tolist(), total.tolist())])
                 else:
                     yield from _counted_rows([(None, kind, chunk, data, None, None)])
         for rows in by_task.values():
@@ -301,18 +395,30 @@ def learn_weights(bins: np.ndarray, counts: np.ndarray, uniform: float) -> np.nd
     return out
 
 
-def _scores(counted: DataFrame, weights: np.ndarray, shared) -> DataFrame:
+def _probability(head: dict, weights: np.ndarray, both, first, c) -> np.ndarray:
+    w = weights[_bucket(first)]
+    return w[:, 0] * both / np.maximum(first, 1) + w[:, 1] * c / max(head["N"], 1) + w[:, 2] / (head["V"] + 1)
+
+
+def _hot_counts(counted: DataFrame, head: dict) -> tuple[np.ndarray, np.ndarray]:
+    """How often each hot pair was seen, and in the deleted part."""
+    rows = counted.where("kind > 3").select("kind", F.explode(F.arrays_zip("bins", "counts")).alias("x"))
+    both, deleted = np.zeros(len(head["hot"])), np.zeros(len(head["hot"]))
+    for kind, at, n in rows.groupBy("kind", "x.bins").agg(F.sum("x.counts")).collect():  # at most two per hot pair
+        (both if kind == 4 else deleted)[at] = n
+    return both, deleted
+
+
+def _scores(counted: DataFrame, weights: np.ndarray, shared, hot_logs: np.ndarray) -> DataFrame:
     def summed(batches):
         head = shared.value
-        uniform = 1.0 / (head["V"] + 1)
         for batch in batches:
             kinds, data = batch.column("kind").to_pylist(), batch.column("data").to_pylist()
             for k in (k for k, kind in enumerate(kinds) if kind < 2):
                 own, counts, both, before, token = _unpack(data[k])
                 first = _first(head, before)
                 c = token.astype(np.float64) if kinds[k] else head["c"][token]
-                w = weights[_bucket(first)]
-                p = w[:, 0] * both / np.maximum(first, 1) + w[:, 1] * c / max(head["N"], 1) + w[:, 2] * uniform
+                p = _probability(head, weights, both, first, c)
                 starts = np.cumsum(counts.astype(np.int64)) - counts
                 sums = [np.add.reduceat(np.log10(p), starts)]
                 if kinds[k]:
@@ -323,8 +429,10 @@ def _scores(counted: DataFrame, weights: np.ndarray, shared) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         head = shared.value
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        doc_ids, role, lengths, known, base = pickle.loads(data[kinds.index(2)])
-        score, known, base = np.zeros(len(lengths)), known.copy(), base.copy()
+        doc_ids, role, lengths, known, base, kept = pickle.loads(data[kinds.index(2)])
+        known, base = known.copy(), base.copy()
+        own, which, n = _unpack(kept)
+        score = np.bincount(own, n * hot_logs[which], len(lengths)).astype(np.float64)
         for kind, packed in zip(kinds, data):
             if kind == 0:
                 own, logs = _unpack(packed)
@@ -371,7 +479,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     counted = saved(_count_pairs(spread.repartitionById(groups, F.col("p")), shared, groups), "pairs")
     dealt = counted.where("kind = 1").select("p", "data").repartitionById(groups, F.col("p"))
     counted = counted.where("kind <> 1").union(saved(_count_others(dealt, shared), "others"))
+    both, deleted = _hot_counts(counted, head)
+    first, second = (head["hot"] >> np.uint64(32)).astype(np.int64), (head["hot"] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     learned = counted.where("kind = 3").select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts").alias("n"))
-    bins = learned.collect()  # at most CONTEXT_BUCKETS * LEVELS ** 2, in fact some ten thousand
-    weights = learn_weights(np.array([b[0] for b in bins], np.int64), np.array([b[1] for b in bins], np.float64), 1.0 / (head["V"] + 1))
-    return _scores(counted, weights, shared)
+    bins = learned.orderBy("bins").collect()  # at most CONTEXT_BUCKETS * LEVELS ** 2, in fact some ten thousand
+    left, part = head["c"] - head["deleted"], deleted > 0
+    hot_uni = left[second[part]] / max(head["N"] - head["N_deleted"], 1)
+    hot_bins = (_bucket(left[first[part]]) * LEVELS + _bin((both - deleted)[part] / np.maximum(left[first[part]], 1))) * LEVELS + _bin(hot_uni)
+    all_bins = np.concatenate([np.array([b[0] for b in bins], np.int64), hot_bins])
+    counts = np.concatenate([np.array([b[1] for b in bins], np.float64), deleted[part]])
+    order = np.argsort(all_bins, kind="stable")
+    weights = learn_weights(all_bins[order], counts[order], 1.0 / (head["V"] + 1))
+    hot_logs = np.log10(_probability(head, weights, both, head["c"][first], head["c"][second])) if len(first) else np.zeros(1)
+    return _scores(counted, weights, shared, hot_logs)
