@@ -2,5 +2,6 @@
 
 from .operators.search import Collection, Queries, any_of, queries_from_text
 from .plans.index import Index, StaleIndexError
+from .ship import ship
 
-__all__ = ["Collection", "Index", "Queries", "StaleIndexError", "any_of", "queries_from_text"]
+__all__ = ["Collection", "Index", "Queries", "StaleIndexError", "any_of", "queries_from_text", "ship"]
