@@ -43,9 +43,9 @@ HEAD_WORDS = 1 << 18
 HOT_PAIRS = 1 << 16
 SHARE = 1 << 13
 #: Counts that a task holds before it hands them on.
-HELD_COUNTS = 1 << 20
+HELD_COUNTS = 1 << 18
 #: Tokens counted by one task.
-TASK_TOKENS = 1 << 21
+TASK_TOKENS = 1 << 20
 EM_ROUNDS = 60
 CONTEXT_BUCKETS = 40
 # ------------------------------------------------------------------------------
