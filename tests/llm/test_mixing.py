@@ -84,3 +84,38 @@ def test_odd_rows(spark):
     slots, documents = M.mix(spark.createDataFrame([], SCHEMA))
     assert slots.collect() == [] and documents.collect() == []
     assert [r.taken for r in M.mix(spark.createDataFrame([(1, None, None)], SCHEMA))[1].collect()] == [0]
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """Twelve sources of 30 words and one of 41: shares of 11 to 57 words, each met to a tenth."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(30)), f"s{i:02}") for i in range(12)] + [(99, "x " * 41, "t")]
+    documents = M.mix(spark.createDataFrame(rows, SCHEMA))[1].collect()
+    for r in documents:
+        assert 0 < r.taken <= 3 * r.size and abs(r.taken - r.target) <= 0.1 * r.target, r
+    assert sum(r.taken for r in documents) == pytest.approx(401, rel=0.05)
+
+
+def test_packed_blocks_hold_the_words_of_the_mix(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range((i * 37) % 230)), ["hot", "hot", "a", None][i % 4]) for i in range(60)]
+    rows += [(100, "one  two\tthree", "tiny"), (101, None, "a"), (101, "", None), (102, "long " * 30_000, "hot")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    _, documents = M.mix(docs)
+    words, size = defaultdict(dict), Counter()
+    texts = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, _ in rows if t}
+    for r in documents.collect():
+        for j in range(r.size):
+            words[r.source][r.start + j] = texts[r.doc_id][j]
+        size[r.source] += r.size
+    slots = M.packed_blocks(docs).collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) > 100
+    taken = Counter()
+    for r in slots:
+        length = min(M.BLOCK_WORDS, max(size[r.source] // M.LEAST_BLOCKS, 1))
+        low = r.block * length
+        assert r.text.split(" ") == [words[r.source][k] for k in range(low, min(low + length, size[r.source]))]
+        taken[r.source] += len(r.text.split(" "))
+    got = Counter()
+    for r in documents.collect():
+        got[r.source] += r.taken
+    assert got == taken
+    assert {(r.shard, r.slot, r.source, r.block, r.text) for r in slots} == {tuple(r) for r in M.packed_blocks(docs).collect()}
