@@ -248,3 +248,80 @@ def test_views_teach_each_other():
     both = Q.log_odds(model["both"], odds)
     accuracy = lambda x: ((x > 0) == (y == 1))[60:].mean()
     assert accuracy(both) > 0.93 and accuracy(both) > max(accuracy(odds[:, 0]), accuracy(odds[:, 1]))
+
+
+def _plain_co_train(views, labels, train, calibrate, pool):
+    """Co-training row by row: every unlabelled row remembers what it was labelled for either view."""
+    odds_of = lambda m, s, x: float(Q.log_odds(s, Q.log_odds(m, x[None])[:, None])[0])
+    n = len(pool[0])
+    given = [[-1] * n for _ in views]
+    everything = [np.vstack([v, p]) for v, p in zip(views, pool)]
+    models = [{"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-6, "beta": np.zeros(x.shape[1] + 1)} for x in everything]
+    sure, prior = np.log(Q.SURE / (1 - Q.SURE)), labels[calibrate].mean()
+    for step in range(Q.ROUNDS + 1):
+        for v in (0, 1):
+            at = [i for i in range(n) if given[v][i] >= 0]
+            x = np.vstack([views[v][train], pool[v][at]])
+            y = np.concatenate([labels[train], [given[v][i] for i in at]])
+            z = np.hstack([np.clip((x - models[v]["mean"]) / models[v]["scale"], -6, 6), np.ones((len(x), 1))])
+            penalty = np.diag([Q.RIDGE] * (z.shape[1] - 1) + [1e-6])
+            beta = models[v]["beta"]
+            for _ in range(Q.STEPS if step else 20):
+                p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                beta = beta + np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ beta), -5, 5)
+            models[v] = {**models[v], "beta": beta}
+        scales = [Q.fit_logistic(Q.log_odds(m, x[calibrate])[:, None], labels[calibrate], ridge=1e-3) for m, x in zip(models, views)]
+        if step == Q.ROUNDS:
+            return models, scales, given
+        for own, other in ((0, 1), (1, 0)):
+            open_ = [i for i in range(n) if given[own][i] < 0]
+            bins = {i: min(Q.BINS - 1, max(0, int((odds_of(models[other], scales[other], pool[other][i]) + 15) / 30 * Q.BINS))) for i in open_}
+            ranked = sorted(bins.values(), reverse=True)
+            for label, order, share in ((1, ranked, prior), (0, ranked[::-1], 1 - prior)):
+                most = max(1.0, Q.SHARE * n * share)
+                if not order:
+                    continue
+                edge = order[min(len(order), int(np.ceil(most))) - 1]
+                for i in open_:
+                    surely = bins[i] >= np.ceil((sure + 15) / 30 * Q.BINS) if label else bins[i] <= Q.BINS - 1 - np.ceil((sure + 15) / 30 * Q.BINS)
+                    if given[own][i] < 0 and surely and (bins[i] >= edge if label else bins[i] <= edge):
+                        given[own][i] = label
+
+
+def test_co_training_against_plain_rows():
+    rng = np.random.default_rng(3)
+    y = (rng.random(1500) < 0.4).astype(np.int64)
+    views = [np.where(y[:, None] == 1, 1.0, -1.0) + rng.normal(0, 1.2, (1500, k)) for k in (3, 2)]
+    labels, train = y[:80], np.arange(80) < 50
+    models, scales, given = _plain_co_train([v[:80] for v in views], labels, train, ~train, [v[80:] for v in views])
+    got = Q.co_train([v[:80] for v in views], labels, train, ~train, Q.Rows([v[80:] for v in views]))
+    assert sum(g >= 0 for g in given[0]) > 100 and sum(g >= 0 for g in given[1]) > 50
+    for v in (0, 1):
+        assert got["models"][v]["beta"] == pytest.approx(models[v]["beta"], abs=1e-6)
+        assert got["scales"][v]["beta"] == pytest.approx(scales[v]["beta"], abs=1e-6)
+
+
+def test_every_unlabelled_row_can_take_part(spark):
+    """20,000 unlabelled rows in a table give the classifiers that they give at hand, and what gets labels grows with them."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["the", "river", "ran", "calmly", "over", "stones"]) for _ in range(rng.randint(30, 60))) + "."
+    bad = lambda: " ".join(rng.choice(["BUY", "!!", "win", "$$$", "now", "|"]) for _ in range(rng.randint(3, 15)))
+    rows = [(i, good(), "en", f"s{rng.randint(0, 4)}") if rng.random() < 0.6 else (i, bad(), rng.choice(["en", "xx"]), f"s{rng.randint(4, 8)}") for i in range(20_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6).withColumn("n_chars", F.length("text").cast("long"))
+    measured = Q.saved(Q._measured(docs, "doc_id", "text"), "measured")
+    table, at_hand = Q.Table(measured.where("doc_id >= 300")), Q.Rows(Q._views(measured.where("doc_id >= 300").orderBy("doc_id").toArrow()))
+    labelled = measured.where("doc_id < 300").orderBy("doc_id").toArrow()
+    label = np.array([int("." in rows[i][1]) for i in labelled.column("doc_id").to_pylist()])
+    fold = np.arange(300) % 4 > 0
+    one, other = (Q.co_train(Q._views(labelled), label, fold, ~fold, pool) for pool in (table, at_hand))
+    for v in (0, 1):
+        assert one["models"][v]["beta"] == pytest.approx(other["models"][v]["beta"], abs=1e-4)
+    state = {}
+    inner = Q.sureness
+    seen = lambda views, s: state.update(s) or inner(views, s)
+    Q.sureness = seen
+    try:
+        Q.co_train(Q._views(labelled), label, fold, ~fold, at_hand)
+    finally:
+        Q.sureness = inner
+    assert sum((Q._given(state["history"][v], at_hand.views, 1 - v) >= 0).sum() for v in (0, 1)) > 2_000
