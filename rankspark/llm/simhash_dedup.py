@@ -12,14 +12,16 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import broadcast_if_small
+from ..operators.scale import HEAVY_SLOTS, broadcast_if_small
 from .common import batch_bytes, components, fresh, map_batches, saved, simhash
 
 #: Buckets of more distinct fingerprints are linked through shared neighbours instead of pairs.
 PAIRED_BUCKET = 32
+#: Components of more rows than this, and of more than 1/HEAVY_SLOTS of all, are not shuffled.
+HEAVY_ROWS = 1_000
 
 
 def masks(radius: int) -> list[int]:
@@ -88,6 +90,21 @@ def near_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.union(linked).distinct()
 
 
+def with_root(rows: DataFrame, value: Column) -> DataFrame:
+    """``rows`` with an aggregate over all rows of their ``root``; ``rows`` should be a written table.
+
+    Aggregates are pre-aggregated by Spark. Roots of many rows, at most
+    ``HEAVY_SLOTS`` of them, are broadcast, so that their rows stay where they
+    are; only rows of small components are shuffled.
+    """
+    counted = saved(rows.groupBy("root").agg(value, F.count(F.lit(1)).alias("_rows")), "roots")
+    total = counted.agg(F.sum("_rows")).first()[0] or 0
+    is_heavy = F.col("_rows") > max(HEAVY_ROWS, total // HEAVY_SLOTS)
+    heavy, light = F.broadcast(counted.where(is_heavy).drop("_rows")), counted.where(~is_heavy).drop("_rows")
+    few = rows.join(heavy.select("root"), "root", "left_anti").join(light, "root")
+    return rows.join(heavy, "root").unionByName(few)
+
+
 def link(prints: DataFrame, radius: int = 2) -> DataFrame:
     """``prints(doc_id, text_hash, fp)`` plus the component's root and component_id, the least doc_id reachable over links.
 
@@ -98,8 +115,8 @@ def link(prints: DataFrame, radius: int = 2) -> DataFrame:
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(near_pairs(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    rooted = saved(rooted, "rooted")
+    known = with_root(rooted, F.min("first").alias("component_id")).select("fp", "root", "component_id")
     return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
@@ -129,8 +146,7 @@ def drop_near_duplicates(
     linked = link(prints, radius)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     texts = saved(linked.groupBy("root", row.alias("row")).agg(F.count(F.lit(1)).alias("rows")), "texts")
-    first = texts.groupBy("root").agg(F.min("row").alias("first"))
-    goes = texts.join(first, "root").where(F.col("row") != F.col("first")).select("row.*")
+    goes = with_root(texts, F.min("row").alias("first")).where(F.col("row") != F.col("first")).select("row.*")
     texts = texts.select("row.*", "rows")
     own_hash, gone_id, gone_hash = (fresh(docs, name) for name in ("_simhash_text", "gone_id", "gone_hash"))
     hashed = docs.withColumn(own_hash, F.xxhash64(docs[text_col].cast("string")))

@@ -106,3 +106,25 @@ def test_odd_rows(spark):
     assert S.simhash_components(empty).collect() == [] and S.drop_near_duplicates(empty).collect() == []
     with pytest.raises(ValueError):
         S.near_pairs(empty.selectExpr("doc_id fp"), 3)
+
+
+@pytest.mark.parametrize("heavy", [0, 3, 1_000])
+def test_rows_get_what_their_root_has_without_a_shuffle_of_hot_roots(spark, monkeypatch, heavy):
+    monkeypatch.setattr(S, "HEAVY_ROWS", heavy)
+    rows = [(7, i) for i in range(50)] + [(r, 100 + r) for r in range(20, 30)] + [(40, 5), (40, 5), (None, 1)]
+    frame = spark.createDataFrame(rows, "root long, x long").repartition(5)
+    got = sorted((r.root, r.x, r.least) for r in S.with_root(frame.where("root is not null"), F.min("x").alias("least")).collect())
+    least = {}
+    for root, x in rows:
+        least[root] = min(x, least.get(root, x))
+    assert got == sorted((root, x, least[root]) for root, x in rows if root is not None)
+
+
+def test_one_component_of_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "HEAVY_ROWS", 5)
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(i, same) for i in range(60)] + [(100 + i, f"{i} other words {i * 7} of all {i * 13} kinds {i * 29} here {i * 31}") for i in range(20)]
+    kept = S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    linked = {r.doc_id: r.component_id for r in S.simhash_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sorted(r.doc_id for r in kept) == sorted(set(linked.values()))
+    assert all(linked[i] == 0 for i in range(60))
