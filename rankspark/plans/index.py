@@ -40,7 +40,7 @@ from ..functions.text import ANALYZERS, ENGLISH_STOP_WORDS
 from ..operators import dictionary as D
 from ..operators import postings as P
 from ..operators import search as S
-from ..operators.batch import search_chunks
+from ..operators.batch import match_only, search_chunks, total_hits
 from ..operators.bounds import search_literal
 from .log import CommitLog, Files, State
 
@@ -513,6 +513,14 @@ class Index:
             return search_chunks(collection, queries, k, accept)
         return search_literal(collection, queries, k, accept)
 
+    def totals(self, queries: object, field: str = DEFAULT_FIELD, accept: DataFrame | None = None) -> DataFrame:
+        """``(query_id, total_hits, max_score)`` of every query, also of those that match nothing."""
+        return total_hits(self.collection(field), S.any_of(self.spark, queries), accept)
+
+    def matches(self, queries: object, field: str = DEFAULT_FIELD, accept: DataFrame | None = None) -> DataFrame:
+        """``(query_id, doc_id)`` of all matching documents, unscored."""
+        return match_only(self.collection(field), S.any_of(self.spark, queries), accept)
+
     # ---- snapshots ------------------------------------------------------
 
     def snapshot(self, name: str = "default", vocabulary: DataFrame | Iterable[str] | None = None) -> None:

@@ -153,3 +153,10 @@ def test_default_analyzer_and_stop_words(spark, tmp_path):
     index = R.Index.build(spark, str(tmp_path / "ix"), docs, stop_words=["the"], shards=2)
     assert {r["term"] for r in index.dictionary().collect()} == {"u.s.a", "don't"}
     assert index.stats()["n_docs"] == 1 and index.stats()["total_docs"] == 2
+
+
+def test_totals_and_matches(spark, corpus, index):
+    want = brute_of(corpus).scores(TERMS)
+    rows = {r["query_id"]: (r["total_hits"], r["max_score"]) for r in index.totals({0: TERMS, 1: ["nosuch"]}).collect()}
+    assert rows[1] == (0, None) and rows[0] == (len(want), pytest.approx(max(want.values())))
+    assert {r["doc_id"] for r in index.matches(TERMS).collect()} == set(want)
