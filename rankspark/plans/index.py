@@ -231,15 +231,19 @@ class Index:
         return self._seen
 
     def _register(self) -> None:
-        """Make the tables' folders of current segments known to the session; nothing is listed."""
+        """Make the tables' folders of current segments known to the session, some hundreds a statement; nothing is listed."""
+        missing: dict[str, list[str]] = {}
         for segment in self._seen.segments.values():
             for table in (self._postings_table(segment["buckets"]), self._documents_table(segment["buckets"])):
                 for field in segment["fields"]:
                     key = (table, segment["writing"], field)
                     if key not in self._registered:
                         name = field.replace("\\", "\\\\").replace("'", "\\'")
-                        self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (segment = {segment['writing']}, field = '{name}')")
+                        missing.setdefault(table, []).append(f"PARTITION (segment = {segment['writing']}, field = '{name}')")
                         self._registered.add(key)
+        for table, parts in missing.items():
+            for low in range(0, len(parts), 200):
+                self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(parts[low : low + 200])}")
 
     def _check_number(self, segment: int) -> int:
         """A number that was merged away stays hidden for ever, so nothing may be written to it."""
