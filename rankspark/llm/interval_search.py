@@ -313,7 +313,7 @@ def ranked_search(
     reaches the driver. Tasks pass on ``k`` documents per item.
 
     *Nulls*: a null text has no words. A document without id counts and may be
-    found (its id is null), last among equal scores. An item's null id is handed
+    found (its id is null), last among equal scores; 2**63 - 1 is kept for it. An item's null id is handed
     through. *Empty and wordless* documents count nowhere; such items find
     nothing. *Very long* texts are read whole. *Ties*: the lesser id. *Repeated
     rows*: each document and each item row is one of its own. *Empty tables*: no
