@@ -19,7 +19,7 @@ from ..operators import dictionary as D
 from ..operators import documents as docs_ops
 from ..operators import postings as P
 from ..operators import search as S
-from ..operators.batch import search_batch
+from ..operators.batch import search_chunks
 from ..operators.scale import scratch_dir, spread, take_first, with_positions
 from ..sources.delimited import read_csv_corpus, read_numbered_csv_corpus
 from ..sources.points import points_from_vectors
@@ -366,7 +366,7 @@ def turn_queries(spark: SparkSession, sf_dir: str) -> S.Queries:
 def bm25_topk_blocks(spark, sf_dir):
     """Every ``conversations`` turn as a query, scored in vectorised blocks."""
     collection = shared_index(spark, sf_dir).collection()
-    return _six(search_batch(collection, turn_queries(spark, sf_dir), K, vectorize_from=0), "score")
+    return _six(search_chunks(collection, turn_queries(spark, sf_dir), K, vectorize_from=0), "score")
 
 
 def total_hits_blocks(spark, sf_dir):
