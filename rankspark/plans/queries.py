@@ -287,7 +287,8 @@ def stream_ingest(spark, sf_dir):
     where = scratch_dir(spark)
     index = Index.create(spark, f"{where}/index", analyzer=SIMPLE)
     schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # A pattern, as a stream's plain path has to be a folder; the table may be a file or a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{{documents}}.parquet")
     stream_into(index, stream.select("doc_id", "text"), f"{where}/progress").awaitTermination()
     return index.dictionary()
 
