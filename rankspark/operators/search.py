@@ -291,7 +291,11 @@ def resolve_terms(collection: Collection, queries: Queries) -> DataFrame:
 
 def resolve_local(collection: Collection, queries: Queries) -> pa.Table:
     """Query terms with ``df``, ``idf``, ``weight`` and ``unit``, for queries that were measured small: at most one row per query and term."""
-    table = resolve_terms(collection, queries).toArrow()
+    return weighed(resolve_terms(collection, queries).toArrow())
+
+
+def weighed(table: pa.Table) -> pa.Table:
+    """Resolved query terms with ``weight`` and ``unit``."""
     weight = table["boost"].to_numpy() * table["idf"].to_numpy()
     ids = table["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
     n_queries = int(ids.max(initial=-1)) + 1

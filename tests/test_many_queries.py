@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from rankspark.operators import batch
@@ -63,3 +64,29 @@ def test_totals(spark, tables, general, chunked):
     chunked()
     assert len(want) == 93 and ("50-0", 0, None) in want
     assert rows_of(Q.total_hits_blocks(spark, tables)) == want
+
+
+def test_chunks_meet_the_documents_together(spark, tables, general, chunked, monkeypatch):
+    want = rows_of(Q._six(S.search(*general, Q.K), "score"))
+    runs, run = [], batch.Blocks.numbered
+    chunked()
+    monkeypatch.setattr(batch.Blocks, "numbered", lambda self, *args: runs.append(len(self.shared)) or run(self, *args))
+    # Blocks that are cut and put together, and every way to add up pairs.
+    monkeypatch.setattr(batch, "BLOCK_POSTINGS", 700)
+    monkeypatch.setattr(batch, "FEW_POSTINGS", 3)
+    monkeypatch.setattr(batch, "GROUPS", 16)
+    assert rows_of(Q.bm25_topk_blocks(spark, tables)) == want
+    assert len(runs) < sum(runs)
+
+
+def test_blocks_hold_every_posting_once():
+    n = np.array([3, 1, 9, 2, 2, 2])
+    row, term = np.repeat(np.arange(6, dtype=np.int32), n), np.arange(n.sum(), dtype=np.int32)
+    whole = batch.Documents(np.arange(6) + 10, row, term, term / 2)
+    parts = [batch.Documents(d, r, t, s) for d, r, t, s in [(whole.doc_id[:2], row[:4], term[:4], term[:4] / 2), (whole.doc_id[2:], row[4:] - np.int32(2), term[4:], term[4:] / 2)]]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(batch, "BLOCK_POSTINGS", 5)
+        blocks = list(batch.Documents.joined(iter(parts)))
+    assert [len(b.doc_id) for b in blocks] == [2, 1, 2, 1]
+    assert np.array_equal(np.concatenate([b.doc_id[b.row] for b in blocks]), whole.doc_id[row])
+    assert np.array_equal(np.concatenate([b.term_no for b in blocks]), term)
