@@ -90,3 +90,10 @@ def test_blocks_hold_every_posting_once():
     assert [len(b.doc_id) for b in blocks] == [2, 1, 2, 1]
     assert np.array_equal(np.concatenate([b.doc_id[b.row] for b in blocks]), whole.doc_id[row])
     assert np.array_equal(np.concatenate([b.term_no for b in blocks]), term)
+
+
+def test_terms_too_many_to_broadcast(spark, tables, general, chunked, monkeypatch):
+    want = rows_of(Q._six(S.totals(S.scores(*general), general[1]), "max_score"))
+    chunked()
+    monkeypatch.setattr(batch, "measured_small", lambda *args: False)
+    assert rows_of(Q.total_hits_blocks(spark, tables)) == want
